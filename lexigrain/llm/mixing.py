@@ -90,7 +90,7 @@ def plan(
     share: tuple[int, int] = (3, 2),
     most: int = 2,
     seed: int = 0,
-    bucket_rows: int = 50_000,
+    bucket_rows: int = 4_000,
 ) -> DataFrame:
     """What the mix takes of each row: key columns, source, size, source_size, target, epochs, taken.
 

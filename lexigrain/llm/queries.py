@@ -21,11 +21,68 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import sharding
+
+    out = sharding.shard(_read(spark, sf_dir, "documents"), Scratch(spark, "shard"))
+    return out.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import decontaminate
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.flag(docs, _read(spark, sf_dir, "benchmark"), Scratch(spark, "decontaminate"))
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import rules
+
+    return rules.judge(_read(spark, sf_dir, "documents"))
+
+
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import chunks
+
+    return chunks.dedup(_read(spark, sf_dir, "documents"), Scratch(spark, "chunks"))
+
+
+def op9_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import classifier
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = classifier.score(docs, _read(spark, sf_dir, "labels"), Scratch(spark, "classify"))
+    return out.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import warc
+
+    path = Scratch(spark, "warc").path
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payload=False).drop("url", "payload")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
+    "op3_shard": op3_shard,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_chunk_dedup": op6_chunk_dedup,
+    "op9_classify": op9_classify,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM d""",
     "op1_mix": r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -58,4 +115,52 @@ run AS (
 SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target - epochs * source_size)::BIGINT - first)))::BIGINT AS taken
 FROM run""",
+    "op4_decontaminate": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wins AS (SELECT DISTINCT item_id, w[i:i + 9] AS words FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM items WHERE len(w) > 0)),
+spots AS (SELECT r, n, len, w[i:i + len - 1] AS words, i
+  FROM (SELECT r, w, l.len AS len, len(w) AS n, unnest(range(1, len(w) - l.len + 2)) AS i FROM docs, (SELECT DISTINCT len(words) AS len FROM wins) l)),
+found AS (SELECT s.r, s.i, s.len, w.item_id FROM spots s JOIN wins w USING (words)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + len)) AS p FROM found) GROUP BY r),
+ids AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)""",
+    "op5_quality_rules": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+grams AS (SELECT r, i, w[i:i + 7] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words)),
+twice AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) >= 2),
+repeats AS (SELECT r, count(DISTINCT p) AS n_repeat FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
+lines AS (
+  SELECT r, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS k FROM (SELECT r, string_split(text, chr(10)) AS l FROM docs)),
+worded AS (
+  SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS dup
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+counted AS (
+  SELECT *, len(w) AS n, length(array_to_string(w, '')) AS chars,
+    length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS n_sym,
+    length(line) - length(replace(line, '!', '')) AS n_bang,
+    length(line) - length(regexp_replace(line, '[|>]', '', 'g')) AS n_bar
+  FROM worded),
+judged AS (
+  SELECT *, 10 * n_sym > chars OR (n_bang >= 3 AND 4 * n_bang > n) OR (n_bar >= 3 AND 3 * n_bar > n)
+    OR (n < 3 AND NOT regexp_matches(w[len(w)], '[.!?:;"'')\]…”’»。！？]$'))
+    OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'all rights reserved|licensed under|released under the|terms of use|terms of service|privacy policy|cookie policy|enable javascript|lorem ipsum|click here|sign up for') AS fails
+  FROM counted),
+per_doc AS (SELECT r, count(*) FILTER (WHERE dup) AS n_dup, count(*) FILTER (WHERE fails) AS n_fail, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost FROM judged GROUP BY r),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+    coalesce(n_fail, 0)::BIGINT AS n_lines_failed, coalesce(lost, 0)::BIGINT AS n_words_lost
+  FROM docs JOIN words USING (r) LEFT JOIN per_doc USING (r) LEFT JOIN repeats USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_words_lost <= 40 * n_words AS kept
+FROM base""",
 }
