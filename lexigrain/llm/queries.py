@@ -49,6 +49,19 @@ def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.dedup(_read(spark, sf_dir, "documents"), Scratch(spark, "chunks"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import minhash
+
+    out = minhash.components(_read(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "near"), 3, 85, 100)
+    return out.drop("text_hash")
+
+
+def op8_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import pii
+
+    return pii.report(_read(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "pii"))
+
+
 def op9_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrain.llm import classifier
 
@@ -71,6 +84,8 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op6_chunk_dedup": op6_chunk_dedup,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_sanitise": op8_sanitise,
     "op9_classify": op9_classify,
     "op10_warc": op10_warc,
 }
