@@ -21,6 +21,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexigrain.llm import substrings
+
+    return substrings.dedup(_read(spark, sf_dir, "documents"), Scratch(spark, "substrings"))
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrain.llm import sharding
 
@@ -80,6 +86,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_shard": op3_shard,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
