@@ -117,3 +117,12 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = 4,
     filled = _ranked(pool, ["pool"], buckets).join(F.broadcast(room), (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
     out = ["doc_id", "size", "text_crc32", "shard", "slot", *keep]
     return stays.withColumn("shard", F.col("label")).withColumn("slot", F.col("rank").cast("long")).select(*out).unionByName(filled.withColumn("slot", (F.col("held") + F.col("rank") - F.col("from")).cast("long")).select(*out))
+
+
+def assign(docs: DataFrame, scratch: Scratch, shards: int = 24) -> DataFrame:
+    """``docs`` with shard and slot; rows that are equal in all columns are interchangeable."""
+    own = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    placed = shard(own, scratch, shards, keep=("_row",)).select("doc_id", "_row", "shard", "slot").alias("p")
+    once = own.dropDuplicates(["doc_id", "_row"]).alias("d")
+    joined = once.join(placed, [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("d._row") == F.col("p._row")])
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns if c not in ("shard", "slot")], "p.shard", "p.slot")
