@@ -33,7 +33,8 @@ CLASSES = ("all", "content", "function", "noun", "verb", "adj", "adv", "prp", "a
 
 
 def quoted(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    """A list of SQL strings; the empty string, which is no word, for none."""
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words) or "''"
 
 
 def _ends(x: str, *endings: str) -> str:
