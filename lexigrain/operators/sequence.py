@@ -51,12 +51,12 @@ def npvi(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     return a.groupBy(group).agg((F.avg(F.abs(F.col(value) - F.col("_next")) / ((F.col(value) + F.col("_next")) / 2)) * 100).alias("npvi"))
 
 
-def runs(df: DataFrame, group: str, order: list[str], flag, least: int = 3) -> DataFrame:
+def runs(df: DataFrame, group: list[str], order: list[str], flag, least: int = 3) -> DataFrame:
     """(group, first, last, length): maximal runs of rows where ``flag`` holds, positions from 0."""
-    w = Window.partitionBy(group).orderBy(*order)
+    w = Window.partitionBy(*group).orderBy(*order)
     a = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_f", F.coalesce(flag, F.lit(False)))
-    a = a.withColumn("_island", F.col("_i") - F.row_number().over(Window.partitionBy(group, "_f").orderBy("_i"))).filter("_f")
-    out = a.groupBy(group, "_island").agg(F.min("_i").cast("long").alias("first"), F.max("_i").cast("long").alias("last"), F.count(F.lit(1)).alias("length"))
+    a = a.withColumn("_island", F.col("_i") - F.row_number().over(Window.partitionBy(*group, "_f").orderBy("_i"))).filter("_f")
+    out = a.groupBy(*group, "_island").agg(F.min("_i").cast("long").alias("first"), F.max("_i").cast("long").alias("last"), F.count(F.lit(1)).alias("length"))
     return out.filter(F.col("length") >= least).drop("_island")
 
 

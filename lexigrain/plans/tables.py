@@ -91,7 +91,7 @@ def events_rhythm(spark, sf_dir):
 
 
 def events_runs(spark, sf_dir):
-    return S.runs(_events(spark, sf_dir), "user_id", _ORDER, F.col("value") > 20, 2)
+    return S.runs(_events(spark, sf_dir), ["user_id"], _ORDER, F.col("value") > 20, 2)
 
 
 def events_null(spark, sf_dir):
