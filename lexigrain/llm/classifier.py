@@ -34,6 +34,8 @@ from lexigrain.storage import Scratch
 
 UNITS, DIM, HIDDEN = 4096, 64, 32
 EXTRA = 3
+#: Documents in a block: their unit counts are a dense matrix of ROWS by UNITS.
+ROWS = 512
 
 
 def index_vectors() -> np.ndarray:
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 60
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.utf8(batch.column(2))
-            for lo, hi in B.blocks(offsets):
+            for lo, hi in B.blocks(offsets, rows=ROWS):
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], vectors)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "calibrate", "x"])
 
@@ -196,7 +198,7 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 60
         v, network = model.value
         for batch in batches:
             data, offsets = B.utf8(batch.column(place))
-            for lo, hi in B.blocks(offsets):
+            for lo, hi in B.blocks(offsets, rows=ROWS):
                 s = network.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], v))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*part.schema.names, "_score", "_predicted"])
