@@ -132,8 +132,9 @@ def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     gap = r"[\x20\x09-\x0D]+"
     leading = F.when(F.regexp_like(text, F.lit(r"\A[\x20\x09-\x0D]")), 1).otherwise(0)
-    rest = F.element_at(F.split(text, gap, (n + 1 + leading).cast("int")), -1)
-    return F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), r"[\x20\x09-\x0D]+\z", "")
+    parts = F.split(text, gap, (n + 1 + leading).cast("int"))
+    cut = F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(F.element_at(parts, -1))), r"[\x20\x09-\x0D]+\z", "")
+    return F.when(F.size(parts) > n + leading, cut).otherwise(text)
 
 
 def apply(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
