@@ -136,7 +136,10 @@ def write(pages: DataFrame, path: str, least: int = 1000, shard_bytes: int = 32
             temporary = f"{root}/data/.{name}.{uuid.uuid4().hex}"
             with fs.open_output_stream(temporary) as out:
                 out.write(raw)
-            fs.move(temporary, f"{root}/data/{name}")
+            final = f"{root}/data/{name}"
+            if fs.get_file_info(final).type != pafs.FileType.NotFound:  # from an attempt before this one, with the same content
+                fs.delete_file(final)
+            fs.move(temporary, final)
             done.append((name, state["shard"], state["n"], len(raw), hashlib.sha256(raw).hexdigest()))
             state.update(buffer=None, n=0, seq=state["seq"] + 1)
 
