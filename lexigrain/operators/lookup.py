@@ -35,9 +35,11 @@ def inventory(spark, relations: dict[str, list[str]] = CONNECTIVES) -> DataFrame
     return spark.createDataFrame(rows, "relation string, item string, n int").distinct()
 
 
-def _grams(words: str, most: int) -> str:
-    """SQL: struct(at, n, item) for every n-gram up to ``most`` words of an array of words."""
-    sizes = [f"if(size({words}) >= {n}, transform(sequence(1, size({words}) - {n - 1}), i -> named_struct('at', i, 'n', {n}, 'item', array_join(slice({words}, i, {n}), ' '))), array())" for n in range(1, most + 1)]
+def _grams(words: str, most: int, firsts: list[str] | None) -> str:
+    """SQL: struct(at, n, item) for every n-gram up to ``most`` words of an array of words; with ``firsts`` only those that begin with one of them."""
+    begins = f", i -> element_at({words}, i) IN ({X.quoted(firsts)}))" if firsts else ""
+    at = lambda n: f"{'filter(' if firsts else ''}sequence(1, size({words}) - {n - 1}){begins}"
+    sizes = [f"if(size({words}) >= {n}, transform({at(n)}, i -> named_struct('at', i, 'n', {n}, 'item', array_join(slice({words}, i, {n}), ' '))), array())" for n in range(1, most + 1)]
     return f"concat({', '.join(sizes)})"
 
 
@@ -48,9 +50,12 @@ def connectives(docs: DataFrame, items: DataFrame) -> DataFrame:
     the few of one document and relation.
     """
     most = items.agg(F.max("n")).first()[0] or 1
-    small = F.broadcast(items) if items.count() <= LIMIT else items
+    n_items = items.count()
+    small = F.broadcast(items) if n_items <= LIMIT else items
+    # a short inventory's first words go into the plan, so that few n-grams are ever built
+    firsts = sorted({r[0] for r in items.select(F.split("item", " ")[0]).distinct().collect()}) if n_items <= 5_000 else None
     a = flat(docs).selectExpr("doc_id", "size(toks) AS n_words", "transform(sents, s -> transform(s, x -> x.w)) AS s")
-    spots = a.selectExpr("doc_id", "n_words", "posexplode(s) AS (sent, words)").selectExpr("doc_id", "n_words", "sent", f"explode({_grams('words', most)}) AS g")
+    spots = a.selectExpr("doc_id", "n_words", "posexplode(s) AS (sent, words)").selectExpr("doc_id", "n_words", "sent", f"explode({_grams('words', most, firsts)}) AS g")
     met = spots.selectExpr("doc_id", "n_words", "sent", "g.at", "g.n AS len", "g.item").join(small.drop("n"), "item")
     lists = met.groupBy("doc_id", "relation").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_list(F.struct("sent", "at", F.negative("len").alias("len")))).alias("m"))
     fold = "aggregate(m, named_struct('k', 0L, 'sent', -1, 'free', 0), (a, x) -> if(x.sent = a.sent AND x.at < a.free, a, named_struct('k', a.k + 1L, 'sent', x.sent, 'free', x.at - x.len)), a -> a.k)"
