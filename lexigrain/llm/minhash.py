@@ -2,16 +2,21 @@
 
 A document's set holds the hashes of its distinct word shingles. Documents with
 equal sets become one node. Each node's signature has ``HASHES`` minima of
-universal hash functions; ``BANDS`` bands of ``ROWS`` minima each deal nodes to
-buckets. With 28 bands of 4, a pair at similarity 0.85 meets in no band with
-probability 1e-9.
-
-No bucket emits all its pairs. First every node meets one pivot of each of its
-buckets (the smallest node); the signature estimate (at a margin of six standard
-errors) and the full sets decide, and components are formed. Then only pairs
-from different components that still share a bucket meet, in blocks, so a
-bucket of thousands of copies of one text is done after the first step. That
-second step is exhaustive, so no link between components is lost.
+universal hash functions, cut into bands that deal nodes to buckets: 30 bands
+of 6 minima from similarity 0.85 on, 36 of 5 below, so that a pair at the
+threshold meets in no band with probability under 1e-6.
+
+No bucket emits all its pairs. Its pivot is the node that most others meet in
+all buckets; every other node meets the pivot only, on full sets, and
+components are formed. Then, for a node x that is not linked with its pivot p,
+and any y of the bucket, write D for what p has and the node lacks, A for what
+the node has and p lacks. A link of x and y needs
+    |Ax & Ay| >= need(x, y) = t (|x| + |y|) - |p| + max(|Dx|, |Dy|),
+t = threshold / (1 + threshold). So x and y meet only if they share one of the
+rarest added shingles that this need leaves as a prefix, or if need <= 0. Thousands
+of copies of one text, each changed in its own way, share nothing of the kind.
+Pairs that are left are verified by signature (at a margin of six standard
+errors) and then on full sets. No link between different components is lost.
 
 Cases: null, empty and wordless texts have an empty set and are linked with
 nothing; fewer words than a shingle make one shingle; repeated rows are copies;
@@ -25,19 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.llm import blocks as B
 from lexigrain.llm.components import connected
 from lexigrain.storage import Scratch
 
-BANDS, ROWS = 28, 4
-HASHES = BANDS * ROWS
+HASHES = 180
 _RNG = np.random.Generator(np.random.PCG64(42))
 #: h(x) = a * x + b modulo 2**32 with odd a, compared by the high bits first.
 A = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 C = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
+STAR = "node binary, pivot binary, linked boolean, nx long, np long, nd long, added array<long>"
 SIGNED = "doc_id long, text_hash long, n_shingles long, node binary, signature binary, bands array<long>"
 
 
@@ -71,8 +76,14 @@ def signature(h: np.ndarray) -> np.ndarray:
     return least
 
 
-def sign(docs: DataFrame, width: int) -> DataFrame:
+def rows_of_band(num: int, den: int) -> int:
+    """Minima in a band for a similarity threshold of num / den."""
+    return next(r for r in (6, 5, 4, 3, 2, 1) if (1 - (num / den) ** r) ** (HASHES // r) < 1e-6 or r == 1)
+
+
+def sign(docs: DataFrame, width: int, rows: int) -> DataFrame:
     """SIGNED for each row of (doc_id, text_hash, text)."""
+    n_bands = HASHES // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +101,9 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                     nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     s = signature(own)
                     signed.append(s.tobytes())
-                    keys = np.zeros(BANDS, np.uint64)
-                    for part in s.reshape(BANDS, ROWS).T:
-                        keys = B.mix(keys * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.arange(BANDS, dtype=np.uint64))
+                    keys = np.arange(n_bands, dtype=np.uint64)
+                    for part in s.reshape(n_bands, rows).T:
+                        keys = B.mix(keys * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64))
                     bands.append(keys.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.binary()), pa.array(signed, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -124,55 +135,104 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, n
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            sets: dict[bytes, np.ndarray] = {}
-            for i in range(len(batch)):
-                pair = []
-                for k in (0, 1):
-                    node = batch.column(k)[i].as_py()
-                    if node not in sets:
-                        if len(sets) > 64:
-                            sets.clear()
-                        data, offsets = B.utf8(batch.column(2 + k).slice(i, 1))
-                        sets[node] = shingles(data, offsets, width)[0]
-                    pair.append(sets[node])
-                common = len(np.intersect1d(*pair, assume_unique=True))
-                ok.append(den * common >= num * (len(pair[0]) + len(pair[1]) - common))
+            ok = [den * common >= num * (len(x) + len(y) - common) for x, y, common in _compared(batch, width)]
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     return both.select("u", "v", "tu", "tv").mapInArrow(exact, "u binary, v binary")
 
 
+def _compared(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For rows (u, v, text of u, text of v): both sets and how many they share."""
+    sets: dict[bytes, np.ndarray] = {}
+    for i in range(len(batch)):
+        pair = []
+        for k in (0, 1):
+            node = batch.column(k)[i].as_py()
+            if node not in sets:
+                if len(sets) > 64:
+                    sets.clear()
+                data, offsets = B.utf8(batch.column(2 + k).slice(i, 1))
+                sets[node] = shingles(data, offsets, width)[0]
+            pair.append(sets[node])
+        yield *pair, len(np.intersect1d(*pair, assume_unique=True))
+
+
+def stars(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """STAR for nodes and pivots (node, pivot): is it a link; sizes; what the pivot has and the node lacks (count) and the reverse (hashes)."""
+    both = pairs.join(texts.select("node", F.col("text").alias("tu")), "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("tv")), "pivot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, nx, np_, nd, added = [], [], [], [], []
+            for x, p, common in _compared(batch, width):
+                linked.append(den * common >= num * (len(x) + len(p) - common))
+                nx.append(len(x))
+                np_.append(len(p))
+                nd.append(len(p) - common)
+                added.append(np.setdiff1d(x, p, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(nx, pa.int64()), pa.array(np_, pa.int64()), pa.array(nd, pa.int64()), pa.array(added, pa.list_(pa.int64()))], ["node", "pivot", "linked", "nx", "np", "nd", "added"])
+
+    return both.select("node", "pivot", "tu", "tv").mapInArrow(run, STAR)
+
+
+def within_stars(star: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) of one star, from different components, that the bound on shared additions leaves.
+
+    ``placed`` has the component of each node that has one.
+    """
+    t, theta = num / (num + den), num / den
+    own = star.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    short = t * (F.col("nx") + F.col("np")) - F.col("np") + F.col("nd")
+    own = own.withColumn("least", short + t * (theta * F.col("nx") - F.col("np")) - 1e-6)
+    length = F.when(~F.col("linked") & (F.col("least") > 0), F.size("added") - F.ceil("least") + 1).otherwise(F.size("added"))
+    # a star without unlinked nodes has one component: nothing to compare
+    open_ = own.groupBy("pivot").agg(F.min("linked").alias("all_linked")).filter("not all_linked").select("pivot")
+    own = own.join(open_, "pivot", "left_semi").withColumn("keep", length)
+    tokens = own.filter("keep > 0").select("pivot", "node", "linked", "component", "nx", "np", "nd", "keep", F.explode("added").alias("token"))
+    counts = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("times"), F.min("linked").alias("all_linked"))
+    rarest = Window.partitionBy("pivot", "node").orderBy("times", "token")
+    # all tokens are ranked, but only those that an unlinked node has too can make a pair
+    ranked = tokens.join(counts, ["pivot", "token"]).withColumn("rank", F.row_number().over(rarest)).filter("rank <= keep and times > 1 and not all_linked")
+    x, y = ranked.filter("not linked").alias("x"), ranked.alias("y")
+    need = lambda a, b: t * (F.col(f"{a}.nx") + F.col(f"{b}.nx")) - F.col(f"{a}.np") + F.greatest(f"{a}.nd", f"{b}.nd")
+    fits = lambda a, b: F.least(f"{a}.nx", f"{b}.nx") * den >= F.greatest(f"{a}.nx", f"{b}.nx") * num
+    apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.linked") & (F.col("x.node") < F.col("y.node")) | F.col("y.linked")) & fits("x", "y")
+    shared = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    x, y = own.filter("not linked and least <= 0").alias("x"), own.alias("y")
+    near = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") != F.col("y.node")) & fits("x", "y") & (need("x", "y") <= 1e-6))
+    both = shared.unionByName(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def components(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    signed = scratch.table(sign(own, width), "signed")
+    signed = scratch.table(sign(own, width, rows_of_band(num, den)), "signed")
     # equal sets are one node; a row's signature and bands follow from its set
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("top"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     nodes = scratch.table(nodes, "nodes")
     slots = nodes.select("node", F.explode("bands").alias("band"))
-    shared = slots.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot != last")
-    slots = scratch.table(slots.join(shared.drop("last"), "band"), "slots")
-    met = slots.select("node").distinct().join(nodes.drop("bands"), "node")
-    met = scratch.table(met, "met")
+    shared = slots.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    slots = scratch.table(slots.join(shared, "band"), "slots")
+    # a node's degree: how many others it meets in all its buckets
+    degree = slots.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
+    slots = scratch.table(slots.join(degree, "node"), "ranked")
+    scratch.drop("slots")
+    pivots = slots.groupBy("band").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
+    met = scratch.table(slots.select("node").distinct().join(nodes.drop("bands"), "node"), "met")
     wanted = met.select("node", F.col("top.doc_id").alias("doc_id"), F.col("top.text_hash").alias("text_hash")).alias("w")
     texts = own.alias("o").join(wanted, [F.col("o.doc_id").eqNullSafe(F.col("w.doc_id")), F.col("o.text_hash") == F.col("w.text_hash")])
     texts = scratch.table(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-    first = slots.filter("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = scratch.table(verified(first, met, texts, width, num, den), "links1")
-    stars = scratch.table(connected(links, scratch, "a"), "stars")
-    # what is left: nodes of different components that share a bucket
-    placed = slots.join(stars, "node", "left").select("band", "node", "pivot", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band")
-    placed = scratch.table(placed.join(open_, "band"), "open")
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & (F.col("x.node") != F.col("x.pivot")) & (F.col("y.node") != F.col("y.pivot")))
-    rest = rest.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    first = slots.join(pivots, "band").filter("node != pivot").select("node", "pivot").distinct()
+    star = scratch.table(stars(first, texts, width, num, den), "star")
+    links = star.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    linked = scratch.table(connected(links, scratch, "a"), "linked")
+    rest = within_stars(star, linked, num, den)
     more = scratch.table(verified(rest, met, texts, width, num, den), "links2")
-    final = stars
+    final = linked
     if not more.isEmpty():
-        final = connected(stars.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "b")
+        final = connected(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "b")
     grouped = nodes.select("node", "top").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("top.doc_id").alias("component_id"))
     named = scratch.table(grouped.join(smallest, "component").select("node", "component_id"), "named")
