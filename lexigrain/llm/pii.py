@@ -75,24 +75,27 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.expr(f"array_sort(concat({', '.join(lists)}))")).drop("digits")
 
 
-def disclosing(docs: DataFrame, held: DataFrame, scratch: Scratch, alpha: float, support: int, reach: int) -> DataFrame:
+def disclosing(docs: DataFrame, held: DataFrame, scratch: Scratch, alpha: float, support: int) -> DataFrame:
     """(entity, term, share): terms that disclose an entity, and how much of its information they give.
 
-    ``held`` has entity, term, text_hash for terms within ``reach`` characters
-    of an entity; ``docs`` (t, text_hash) is the whole corpus.
+    ``held`` has entity, term, text_hash for terms beside an entity; ``docs``
+    (t, text_hash) is the whole corpus.
     """
+    texts = docs.select("text_hash").distinct().agg(F.count(F.lit(1)).alias("n"))
     together = held.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    together = scratch.table(together, "together")
     entities = held.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
+    information = F.log2(F.col("n") / F.col("ce"))
+    pmi = lambda ct: F.log2(F.col("both") * F.col("n") / (F.col("ce") * F.col(ct)))
+    # a term is in at least as many texts as it stands beside entities in: most common words end here
+    beside = held.select("term", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    together = together.join(entities, "entity").join(beside, "term").crossJoin(F.broadcast(texts))  # one row
+    together = scratch.table(together.filter((information > 0) & (pmi("least") >= alpha * information)), "together")
     terms = together.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
     words = docs.select("text_hash", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(t), {_quoted(TERM)}, 0)"))).alias("term"))
     seen = words.join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
-    total = docs.agg(F.count_distinct("text_hash").alias("n"))
-    joined = together.join(entities, "entity").join(seen, "term").crossJoin(F.broadcast(total))  # one row
-    information = F.log2(F.col("n") / F.col("ce"))
-    pmi = F.log2(F.col("both") * F.col("n") / (F.col("ce") * F.col("ct")))
-    return joined.filter((information > 0) & (pmi >= alpha * information)).select("entity", "term", (pmi / information).alias("share"))
+    joined = together.join(seen, "term")
+    return joined.filter(pmi("ct") >= alpha * information).select("entity", "term", (pmi("ct") / information).alias("share"))
 
 
 def find(docs: DataFrame, scratch: Scratch, alpha: float = 0.9, support: int = 3, reach: int = 60) -> DataFrame:
@@ -111,7 +114,7 @@ def find(docs: DataFrame, scratch: Scratch, alpha: float = 0.9, support: int = 3
     found = scratch.table(based.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, F.expr(near)).alias("near")), "base")
     mentions = found.filter("near is not null").select("doc_id", "text_hash", "base", F.explode("near").alias("x")).select("doc_id", "text_hash", "base", F.col("x.entity").alias("entity"), F.col("x.terms").alias("terms"))
     held = mentions.select("text_hash", "entity", F.explode("terms").alias("term"))
-    telling = scratch.table(disclosing(own.select("t", "text_hash"), held, scratch, alpha, support, reach), "telling")
+    telling = scratch.table(disclosing(own.select("t", "text_hash"), held, scratch, alpha, support), "telling")
     wanted = mentions.select("text_hash", "entity").distinct().join(telling, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("telling"))
     marks = _fold(TERM, 4, "array_contains(telling, lower(x.m))")
     texts = own.join(wanted, "text_hash").dropDuplicates(["text_hash"]).select("text_hash", F.expr(marks).alias("marks"))
