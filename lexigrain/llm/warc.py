@@ -84,15 +84,13 @@ def parse(data: bytes) -> Iterator[dict]:
         yield {"page_id": number("WARC-Record-ID"), "payload_bytes": int(head["X-Payload-Length"]), "payload_digest": digest.hex(), "record_type": head["WARC-Type"], "refers_to": None if response else number("WARC-Refers-To"), "url": head.get("WARC-Target-URI"), "payload": payload}
 
 
-def resolve(pages: DataFrame, least: int) -> DataFrame:
-    """Adds ``refers_to`` (null for responses) and ``revisit``; digests that occur once go no further than a count."""
+def revisits(pages: DataFrame, least: int) -> DataFrame:
+    """(page_id, sha1, refers_to): the records that repeat a payload; payloads themselves do not move."""
     body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", body.alias("payload")).withColumn("sha1", F.sha1("payload"))
-    large = F.octet_length("payload") >= least
-    groups = rows.filter(large).groupBy("sha1").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    keyed = rows.withColumn("large", large).join(groups, "sha1", "left")
-    revisit = F.coalesce(F.col("large") & F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.lit(False))
-    return keyed.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("top")).alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("size"))
+    rows = rows.filter(F.col("size") >= least).drop("size")
+    groups = rows.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    return rows.join(groups, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha1", "refers_to").distinct()
 
 
 def ranges(pages: DataFrame, shard_bytes: int) -> list[int]:
@@ -118,15 +116,18 @@ def write(pages: DataFrame, path: str, least: int = 1000, shard_bytes: int = 32
     shard = F.lit(0)
     if cuts:
         shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("page_id")))
-    rows = resolve(pages, least).withColumn("shard", F.coalesce(shard, F.lit(0)))
+    # what is known of a record comes right before it: payloads go through one shuffle only
+    known = revisits(pages, least).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha1", "refers_to", F.lit(0).alias("kind"))
+    bodies = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
+    rows = known.unionByName(bodies).withColumn("shard", F.coalesce(shard, F.lit(0)))
     # one partition a shard: shard numbers are their own partition numbers
-    dealt = rows.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "url", "payload")
+    dealt = rows.repartitionByRange(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(f"{root}/data", recursive=True)
         done: list[tuple] = []
-        state = {"shard": None, "seq": 0, "buffer": None, "n": 0}
+        state = {"shard": None, "seq": 0, "buffer": None, "n": 0, "page": (None, None), "known": {}}
 
         def close() -> None:
             if state["buffer"] is None:
@@ -144,9 +145,14 @@ def write(pages: DataFrame, path: str, least: int = 1000, shard_bytes: int = 32
             state.update(buffer=None, n=0, seq=state["seq"] + 1)
 
         for batch in batches:
-            ids, urls, payloads, revisits, refers, shards = (batch.column(k) for k in range(6))
+            ids, urls, payloads, digests, refers, kinds, shards = (batch.column(k) for k in range(7))
             for i in range(len(batch)):
-                s = shards[i].as_py()
+                s, page_id = shards[i].as_py(), ids[i].as_py()
+                if state["page"] != (s, page_id):
+                    state.update(page=(s, page_id), known={})
+                if kinds[i].as_py() == 0:
+                    state["known"][digests[i].as_py()] = refers[i].as_py()
+                    continue
                 if s != state["shard"]:
                     close()
                     state.update(shard=s, seq=0)
@@ -154,7 +160,9 @@ def write(pages: DataFrame, path: str, least: int = 1000, shard_bytes: int = 32
                     state["buffer"] = io.BytesIO()
                     info = _head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:x-part:{s}:{state['seq']}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("WARC-Block-Digest", _base32(b"format: WARC File Format 1.1\r\n"))], b"format: WARC File Format 1.1\r\n")
                     state["buffer"].write(gzip.compress(info, 6, mtime=0))
-                one = record(ids[i].as_py(), urls[i].as_py(), payloads[i].as_py(), refers[i].as_py(), revisits[i].as_py())
+                payload = payloads[i].as_py()
+                refers_to = state["known"].get(hashlib.sha1(payload).hexdigest()) if state["known"] else None
+                one = record(page_id, urls[i].as_py(), payload, refers_to, refers_to is not None)
                 state["buffer"].write(gzip.compress(one, 6, mtime=0))
                 state["n"] += 1
                 if state["buffer"].tell() >= roll:
@@ -163,7 +171,7 @@ def write(pages: DataFrame, path: str, least: int = 1000, shard_bytes: int = 32
         columns = [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))]
         yield pa.RecordBatch.from_arrays(columns, ["file", "shard", "records", "bytes", "sha256"])
 
-    manifest = dealt.select("page_id", "url", "payload", "revisit", "refers_to", "shard").mapInArrow(run, MANIFEST)
+    manifest = dealt.select("page_id", "url", "payload", "sha1", "refers_to", "kind", "shard").mapInArrow(run, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{path}/manifest")
     return dealt.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
@@ -184,7 +192,8 @@ def read(spark, path: str, payload: bool = True) -> DataFrame:
                 if hashlib.sha256(raw).hexdigest() != batch.column(1)[i].as_py():
                     raise ValueError("a file differs from its manifest")
                 rows = []
-                for r in parse(gzip.decompress(raw)):
+                # a file object: gzip.decompress copies all that is left after each member
+                for r in parse(gzip.GzipFile(fileobj=io.BytesIO(raw)).read()):
                     rows.append(r if payload else r | {"payload": None})
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
