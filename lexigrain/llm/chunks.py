@@ -3,13 +3,17 @@
 A gear rolling hash cuts each text where the hash of the last 32 bytes has its
 top bits zero, so that cuts follow content and an insertion only moves the cuts
 around it. Chunks are identified by a 128-bit digest. The first chunk of each
-digest, by (doc_id, place), is the original; later ones are repeats. A repeat is
-removed if it belongs to a run of neighbouring repeats of at least ``least``
-bytes together, so that a short phrase met by chance stays.
+digest, by (doc_id, place), is the original; every later one is a repeat and is
+removed, however short its run of neighbouring repeats. A run then grows bytewise
+on both sides as far as its text agrees with the text around the originals of its
+outer chunks (by whole characters, and by at most ``most`` bytes, the size of the
+longest chunk), so that it reaches the edges of a shared passage, which lie inside
+chunks. Each removed byte equals one at an earlier place, so one copy stays.
 
 Digests are counted before anything else moves; chunks that occur once go no
 further. A digest that a third of all documents share is one row in the count
-and a skewed key in one equi-join, which adaptive execution splits.
+and a skewed key in one equi-join, which adaptive execution splits. Only texts
+that hold an original at the edge of a run are read for its surroundings.
 
 Cases: null is an empty text, without chunks; rows with the same doc_id are
 told apart by a hash of the text, and rows equal in both are one document, with
@@ -30,6 +34,8 @@ from lexigrain.llm import blocks as B
 from lexigrain.storage import Scratch
 
 GEAR = (B.BYTE_KEYS >> np.uint64(20)).astype(np.uint32)
+#: Texts with originals whose wanted places are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 CHUNK_SCHEMA = "doc_id long, text_hash long, at long, size int, d1 long, d2 long"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, n_repeat_chunks long, first_docs array<long>"
 
@@ -91,21 +97,48 @@ def chunk(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
     return docs.mapInArrow(run, CHUNK_SCHEMA)
 
 
-def repeats(docs: DataFrame, scratch: Scratch, bits: int = 5, least: int = 32, most: int = 1024, run_bytes: int = 96) -> DataFrame:
-    """(doc_id, text_hash, spans, first_docs): [at, end) of removed chunks, and whose copies stay."""
+def around(docs: DataFrame, runs: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """(first, before, after): up to ``most`` bytes on the outer side of the originals at the edges of runs."""
+    edges = runs.filter("at > 0").select("left.*", F.lit(True).alias("before")).unionByName(runs.select("right.*", F.lit(False).alias("before")))
+    places = scratch.table(edges.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "before")).alias("places")), "edges")
+    places = F.broadcast(places) if places.count() <= MOST_BROADCAST else places
+    d, p = docs.alias("d"), places.alias("p")
+    on = [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("d.text_hash") == F.col("p.text_hash")]
+    texts = d.join(p, on).select("d.doc_id", "d.text_hash", "text", "places").dropDuplicates(["doc_id", "text_hash"])
+    asked = texts.select("doc_id", "text_hash", F.encode("text", "UTF-8").alias("raw"), F.explode("places").alias("x"))
+    start = F.when(F.col("x.before"), F.greatest(F.col("x.place") - most, F.lit(0))).otherwise(F.col("x.place"))
+    length = F.when(F.col("x.before"), F.col("x.place") - start).otherwise(F.lit(most))
+    return scratch.table(asked.select("doc_id", "text_hash", "x.place", "x.before", F.substring("raw", (start + 1).cast("int"), length.cast("int")).alias("bytes")), "around")
+
+
+def repeats(docs: DataFrame, scratch: Scratch, bits: int = 5, least: int = 32, most: int = 1024) -> DataFrame:
+    """(doc_id, text_hash, spans, first_docs): [at, end) of runs of removed chunks with the bytes around their originals, and whose copies stay."""
     chunks = scratch.table(chunk(docs, bits, least, most), "chunks")
     place = F.struct("doc_id", "text_hash", "at")
     shared = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     met = chunks.join(shared, ["d1", "d2"])
     # equal rows (doc_id and text) are one document here; the first keeps its chunks
-    later = met.filter(~F.col("first").eqNullSafe(place)).select("doc_id", "text_hash", "at", (F.col("at") + F.col("size")).alias("end"), F.col("first.doc_id").alias("first_doc")).distinct()
+    later = met.filter(~F.col("first").eqNullSafe(place)).select("doc_id", "text_hash", "at", (F.col("at") + F.col("size")).alias("end"), "first").distinct()
     key = ["doc_id", "text_hash"]
     order = Window.partitionBy(*key).orderBy("at")
     runs = later.withColumn("new", (F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("at")).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy(*key, "run").agg(F.min("at").alias("at"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.collect_set("first_doc").alias("firsts"))
-    spans = spans.filter(F.col("end") - F.col("at") >= run_bytes)
-    return spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("spans"), F.sum("n").alias("n_repeat_chunks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("first_docs"))
+    original = lambda at: F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), at.alias("place"))
+    left, right = original(F.col("first.at")), original(F.col("first.at") + F.col("end") - F.col("at"))
+    runs = runs.groupBy(*key, "run").agg(
+        F.min("at").alias("at"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.collect_set("first.doc_id").alias("firsts"), F.min_by(left, "at").alias("left"), F.max_by(right, "at").alias("right")
+    )
+    runs = scratch.table(runs.drop("run"), "runs")
+    scratch.drop("chunks")
+    near = around(docs, runs, scratch, most)
+    spans = runs
+    for side, name in (("left", "before"), ("right", "after")):
+        n = near.filter(F.col("before") == F.lit(side == "left")).alias("n")
+        r = spans.alias("r")
+        on = [F.col(f"r.{side}.doc_id").eqNullSafe(F.col("n.doc_id")), F.col(f"r.{side}.text_hash") == F.col("n.text_hash"), F.col(f"r.{side}.place") == F.col("n.place")]
+        spans = r.join(n, on, "left").select("r.*", F.col("n.bytes").alias(f"{name}_bytes"))
+    span = F.struct("at", "end", F.col("before_bytes").alias("before"), F.col("after_bytes").alias("after"))
+    return spans.groupBy(*key).agg(F.sort_array(F.collect_list(span)).alias("spans"), F.sum("n").alias("n_repeat_chunks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("first_docs"))
 
 
 def with_text(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -124,15 +157,40 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[last:]])
 
 
-def spans_of(column: pa.Array, i: int) -> list[tuple[int, int]]:
-    value = column[i].as_py()
-    return [(s["at"], s["end"]) for s in value] if value else []
-
-
-def dedup(docs: DataFrame, scratch: Scratch, bits: int = 5, least: int = 32, most: int = 1024, run_bytes: int = 96, text: bool = False) -> DataFrame:
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many bytes two texts start with in common."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def grown(raw: np.ndarray, spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans (at, end, and bytes before and after their originals) extended as far as the text agrees; sorted, disjoint."""
+    out: list[tuple[int, int]] = []
+    for s in spans:
+        start, end = s["at"], s["end"]
+        if s["before"]:
+            start -= _agreeing(raw[:start][::-1], np.frombuffer(s["before"], np.uint8)[::-1])
+            while start < s["at"] and raw[start] & 0xC0 == 0x80:  # inside a character
+                start += 1
+        if s["after"]:
+            end += _agreeing(raw[end:], np.frombuffer(s["after"], np.uint8))
+            while s["end"] < end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end -= 1
+        out.append((start, end))
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(out):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], end))
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def dedup(docs: DataFrame, scratch: Scratch, bits: int = 5, least: int = 32, most: int = 1024, text: bool = False) -> DataFrame:
     """RESULT_SCHEMA for every document; with ``text``, also the kept bytes as text."""
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    found = repeats(own, scratch, bits, least, most, run_bytes)
+    found = repeats(own, scratch, bits, least, most)
     joined = with_text(own, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +200,7 @@ def dedup(docs: DataFrame, scratch: Scratch, bits: int = 5, least: int = 32, mos
             spans, none = batch.column(3), batch.column(3).is_null().to_pylist()
             for i in range(len(batch)):
                 raw = data[offsets[i] : offsets[i + 1]]
-                gone = [] if none[i] else spans_of(spans, i)
+                gone = [] if none[i] else grown(raw, spans[i].as_py())
                 kept = without(raw.tobytes(), gone)
                 out["n_bytes"].append(len(raw))
                 out["n_removed"].append(len(raw) - len(kept))

@@ -217,6 +217,33 @@ def test_op6_removes_later_copies_only(spark, corpus):
     assert all(r.n_removed == 0 and r.kept_text for r in alone)
 
 
+def test_op6_a_short_passage_goes_whole(spark):
+    rng = random.Random(11)
+    own = lambda: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(120))
+    rows, passages = [], []
+    for k in range(60):
+        passages.append(" ".join(own().split()[:51]))
+        rows += [(2 * k, f"{own()} ä\n{passages[-1]}\nö {own()}", "en", "a", 0), (2 * k + 1, f"{own()} ü\n{passages[-1]}\nß {own()}", "en", "a", 0)]
+    got = {r.doc_id: r for r in chunks.dedup(frame(spark, rows), Scratch(spark, "t"), text=True).collect()}
+    whole = 0
+    for k in range(60):
+        assert got[2 * k].n_removed == 0 and passages[k] in got[2 * k].kept_text
+        whole += got[2 * k + 1].n_removed >= len(passages[k])
+    assert whole >= 57
+
+
+def test_op6_a_lone_chunk_is_removed(spark):
+    rng = np.random.default_rng(5)
+    data = bytes(rng.integers(97, 123, 4000).astype(np.uint8))
+    ends = chunks.cut(np.frombuffer(data, np.uint8), 5, 32, 1024)
+    small = [(s, e) for s, e in zip(ends, ends[1:], strict=False) if e - s < 96]
+    texts = [(s, e, b"Q" * 40 + data[s - 32 : e] + b"Z" * 40) for s, e in small]
+    start, end, text = next(x for x in texts if {72, 72 + x[1] - x[0]} <= set(chunks.cut(np.frombuffer(x[2], np.uint8), 5, 32, 1024)))
+    rows = [(1, data.decode(), "en", "a", 0), (2, text.decode(), "en", "a", 0)]
+    got = {r.doc_id: r.n_removed for r in chunks.dedup(frame(spark, rows), Scratch(spark, "t")).collect()}
+    assert got[1] == 0 and got[2] == 32 + end - start
+
+
 # -- near duplicates ---------------------------------------------------------------------
 
 
