@@ -4,9 +4,14 @@ Documents with equal texts are linked. Each group of links starts scattered
 over the shards by a hash of its documents; in every round a group's documents
 move to the shard that already holds most of them, as far as that shard's quota
 has room: where more want in than fit, a fixed share of the groups (by hash)
-may move. A group larger than a quota fills several shards. Documents without
-links then fill the rest, so that all shards hold the same number of rows, one
-more or less.
+may move. What the rounds leave scattered is settled: every group takes the label
+of most of its documents, whole groups fill each shard up to its quota, and the
+groups beyond it are laid one after another into the room that is left, where
+only those at a shard's edge are cut. A group larger than a quarter of a quota
+is placed before the rounds, in as few neighbouring shards as hold it. So at
+most twice ``shards`` groups are cut, whatever share of the documents is linked.
+Documents without links then fill the rest, so that all shards hold the same
+number of rows, one more or less.
 
 Nothing is kept per pair of documents: a group is one row for each shard that
 it occupies. Ranks are sums over buckets of a hash plus a window inside a
@@ -67,6 +72,39 @@ def propagate(linked: DataFrame, quotas: DataFrame, scratch: Scratch, shards: in
     return state
 
 
+def _laid(groups: DataFrame, room: DataFrame) -> DataFrame:
+    """(link, shard, lo, hi): which documents [lo, hi) of each group every shard takes, where ``start`` and ``n`` place the group on the line of all room."""
+    upto = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    line = room.select("shard", "free", F.sum("free").over(upto).alias("to")).withColumn("from", F.col("to") - F.col("free"))
+    end = F.col("start") + F.col("n")
+    met = groups.join(F.broadcast(line), (F.col("start") < F.col("to")) & (end > F.col("from")) & (F.col("free") > 0))
+    return met.select("link", "shard", (F.greatest("start", "from") - F.col("start")).alias("lo"), (F.least(end, F.col("to")) - F.col("start")).alias("hi"))
+
+
+def _begun(groups: DataFrame, group: list[str], buckets: int) -> DataFrame:
+    """Adds ``start``: the rows ``n`` of all links before this one inside each group, by a hash."""
+    groups = groups.withColumn("place", F.pmod(F.xxhash64("link", F.lit(5)), F.lit(1 << 40))).withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))
+    keys = [*group, "bucket"]
+    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.groupBy(*keys).agg(F.sum("n").alias("s")).select(*keys, F.coalesce(F.sum("s").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy(*keys).orderBy("place", "link").rowsBetween(Window.unboundedPreceding, -1)
+    out = groups.withColumn("start", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), keys)
+    return out.withColumn("start", F.col("start") + F.col("first")).drop("first", "bucket", "place")
+
+
+def settle(state: DataFrame, room: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
+    """(link, shard, lo, hi) from the labels that the rounds left: groups stay whole but for those at the edges of what is free."""
+    label = F.max_by("shard", F.struct(F.col("rows"), -_unit(F.col("link"), F.col("shard"))))
+    groups = state.groupBy("link").agg(F.sum("rows").alias("n"), label.alias("shard"))
+    placed = _begun(groups, ["shard"], buckets).join(F.broadcast(room.select("shard", F.col("quota").alias("free"))), "shard")
+    placed = scratch.table(placed.withColumn("fits", F.col("start") + F.col("n") <= F.col("free")).drop("free"), "settled")
+    stays = placed.filter("fits").select("link", "shard", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
+    loads = placed.filter("fits").groupBy("shard").agg(F.sum("n").alias("load"))
+    left = room.join(F.broadcast(loads), "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
+    others = _begun(placed.filter("not fits").select("link", "n", F.lit(0).alias("pool")), ["pool"], buckets)
+    return stays.unionByName(_laid(others, left))
+
+
 def _ranked(rows: DataFrame, group: list[str], buckets: int) -> DataFrame:
     """Adds a gapless ``rank`` from 0 inside each group, by (place, member)."""
     rows = rows.withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))
@@ -94,18 +132,24 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = 4,
     narrow = scratch.table(narrow, "narrow")
     n = narrow.count()
     quotas = scratch.table(_quotas(scratch, n, shards).coalesce(1), "quotas")
-    counts = narrow.filter("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    linked = narrow.join(counts.select("link"), "link", "left_semi")
-    state = propagate(linked.select("link", "member"), quotas, scratch, shards, rounds)
-    # where a group occupies several shards, a document's hash says which it goes to
-    upto = Window.partitionBy("link").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    spans = state.withColumn("hi", F.sum("rows").over(upto) / F.sum("rows").over(Window.partitionBy("link")))
-    lists = spans.groupBy("link").agg(F.sort_array(F.collect_list(F.struct("hi", "shard"))).alias("spans"))
-    at = F.element_at(F.filter("spans", lambda x: x["hi"] > _unit(F.col("member"), F.lit(11))), 1)["shard"]
-    rows = narrow.join(lists, "link", "left").withColumn("label", F.coalesce(at, F.lit(-1))).drop("spans")
-    rows = rows.withColumn("place", F.pmod(F.xxhash64("member", F.lit(17)), F.lit(1 << 40)))
+    counts = scratch.table(narrow.filter("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
     buckets = max(1, min(MOST_BUCKETS, n // bucket_rows + 1))
-    ranked = scratch.table(_ranked(rows, ["label"], buckets), "ranked")
+    # at most 4 * shards groups are large
+    large = counts.filter(F.col("n") * 4 > n // shards)
+    upto = Window.partitionBy().orderBy(F.desc("n"), "link").rowsBetween(Window.unboundedPreceding, -1)
+    first = scratch.table(_laid(large.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0))), quotas.withColumnRenamed("quota", "free")), "large")
+    taken = F.broadcast(first.groupBy("shard").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken")))
+    room = scratch.table(quotas.join(taken, "shard", "left").select("shard", (F.col("quota") - F.coalesce("taken", F.lit(0))).alias("quota")).coalesce(1), "room")
+    linked = narrow.join(counts.filter(F.col("n") * 4 <= n // shards).select("link"), "link", "left_semi")
+    state = propagate(linked.select("link", "member"), room, scratch, shards, rounds)
+    pieces = scratch.table(first.unionByName(settle(state, room, scratch, buckets)), "pieces")
+    # where a group occupies several shards, the rank of a document in it says which it goes to; at most 2 * shards groups do
+    cut = scratch.table(pieces.groupBy("link").agg(F.sort_array(F.collect_list(F.struct("hi", "shard"))).alias("spans")).filter(F.size("spans") > 1), "cut")
+    rows = narrow.withColumn("place", F.pmod(F.xxhash64("member", F.lit(17)), F.lit(1 << 40)))
+    at = F.element_at(F.filter("spans", lambda x: x["hi"] > F.col("rank")), 1)["shard"]
+    split = _ranked(rows.join(F.broadcast(cut), "link"), ["link"], buckets).withColumn("label", at).drop("spans", "rank")
+    whole = rows.join(F.broadcast(cut.select("link")), "link", "left_anti").join(pieces.select("link", F.col("shard").alias("label")), "link", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    ranked = scratch.table(_ranked(whole.unionByName(split), ["label"], buckets), "ranked")
     loads = F.broadcast(ranked.filter("label >= 0").groupBy(F.col("label").alias("shard")).agg(F.count(F.lit(1)).alias("load")))
     upto = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     room = quotas.join(loads, "shard", "left").withColumn("held", F.least("quota", F.coalesce("load", F.lit(0))))

@@ -142,6 +142,16 @@ def test_op3_balance_slots_and_groups(spark, corpus, bucket_rows):
     assert len({by_id[1000 + k] for k in range(40)}) <= 24
 
 
+@pytest.mark.parametrize("bucket_rows", [100, 100_000])
+@pytest.mark.parametrize("large", [0, 800])
+def test_op3_when_every_text_has_a_copy(spark, large, bucket_rows):
+    rows = [(k, "the very same" if k < large else f"pair {k // 2}", "en", "s1", 0) for k in range(2400)]
+    got = {r.doc_id: r.shard for r in sharding.shard(frame(spark, rows), Scratch(spark, "t"), bucket_rows=bucket_rows).collect()}
+    assert sorted(got) == list(range(2400)) and {list(got.values()).count(s) for s in range(24)} == {100}
+    assert sum(got[k] != got[k + 1] for k in range(large, 2400, 2)) <= 23
+    assert len({got[k] for k in range(large)}) == large // 100
+
+
 def test_op3_assign_keeps_columns(spark, corpus):
     docs = frame(spark, corpus)
     out = sharding.assign(docs, Scratch(spark, "t"))
