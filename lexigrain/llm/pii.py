@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation of personal data, with DataFrame operations only.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone
-numbers that patterns and checks find. A term (a run of letters) beside an
-entity discloses it as far as seeing the term predicts the entity: with c(.)
-counting distinct texts of the whole corpus,
+numbers that patterns and checks find. A term (a run of letters) in the text of
+an entity, however far away, discloses it as far as seeing the term predicts the
+entity: with c(.) counting distinct texts of the whole corpus,
 
     PMI(e; t) = log2( c(e, t) * N / (c(e) * c(t)) ),   IC(e) = log2( N / c(e) ).
 
@@ -75,47 +75,51 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.expr(f"array_sort(concat({', '.join(lists)}))")).drop("digits")
 
 
-def disclosing(docs: DataFrame, held: DataFrame, scratch: Scratch, alpha: float, support: int) -> DataFrame:
+def disclosing(docs: DataFrame, mentions: DataFrame, scratch: Scratch, alpha: float, support: int) -> DataFrame:
     """(entity, term, share): terms that disclose an entity, and how much of its information they give.
 
-    ``held`` has entity, term, text_hash for terms beside an entity; ``docs``
-    (t, text_hash) is the whole corpus.
+    ``mentions`` has the distinct (text_hash, entity); ``docs`` (t, text_hash)
+    is the whole corpus. An entity in fewer than ``support`` texts cannot share
+    so many with a term, so only texts of the other entities are read for pairs.
     """
     texts = docs.select("text_hash").distinct().agg(F.count(F.lit(1)).alias("n"))
-    together = held.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
-    entities = held.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("ce"))
+    entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("ce")).filter(F.col("ce") >= support)
+    common = scratch.table(mentions.join(entities, "entity"), "common")
+    holding = common.select("text_hash").distinct()
+    holding = F.broadcast(holding) if holding.count() <= MOST_BROADCAST else holding
+    words = F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(t), {_quoted(TERM)}, 0)"))).alias("term")
+    held = scratch.table(docs.join(holding, "text_hash").select("text_hash", words).distinct(), "held")
     information = F.log2(F.col("n") / F.col("ce"))
     pmi = lambda ct: F.log2(F.col("both") * F.col("n") / (F.col("ce") * F.col(ct)))
-    # a term is in at least as many texts as it stands beside entities in: most common words end here
-    beside = held.select("term", "text_hash").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
-    together = together.join(entities, "entity").join(beside, "term").crossJoin(F.broadcast(texts))  # one row
+    # a term is in at least as many texts as hold it and an entity: most common words end here
+    beside = held.groupBy("term").agg(F.count(F.lit(1)).alias("least")).filter(F.col("least") >= support)
+    together = common.join(held, "text_hash").groupBy("entity", "term", "ce").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    together = together.join(beside, "term").crossJoin(F.broadcast(texts))  # one row
     together = scratch.table(together.filter((information > 0) & (pmi("least") >= alpha * information)), "together")
     terms = together.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
-    words = docs.select("text_hash", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(t), {_quoted(TERM)}, 0)"))).alias("term"))
-    seen = words.join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
+    seen = docs.select("text_hash", words).join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
     joined = together.join(seen, "term")
     return joined.filter(pmi("ct") >= alpha * information).select("entity", "term", (pmi("ct") / information).alias("share"))
 
 
-def find(docs: DataFrame, scratch: Scratch, alpha: float = 0.9, support: int = 3, reach: int = 60) -> DataFrame:
+def find(docs: DataFrame, scratch: Scratch, alpha: float = 0.9, support: int = 3) -> DataFrame:
     """doc_id, text_hash, base, spans of every row of ``docs`` (doc_id, text).
 
-    The texts are read twice: for the patterns, and for the corpus counts of
-    terms; only texts with disclosing terms are read again.
+    The texts are read three times: for the patterns, for the terms of texts with
+    a repeated entity, and for the corpus counts of terms; only texts with
+    disclosing terms are read again.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
     based = with_base(own)
-    near = (
-        f"transform(base, x -> named_struct('entity', concat(element_at(array({', '.join(repr(k) for k in KINDS)}), x.k + 1), ':', "
-        f"if(x.k < 2, lower(substring(t, x.s + 1, x.e - x.s)), regexp_replace(substring(t, x.s + 1, x.e - x.s), '[^0-9]', ''))), "
-        f"'terms', array_distinct(regexp_extract_all(lower(concat(substring(t, greatest(x.s - {reach}, 0) + 1, least(x.s, {reach})), ' ', substring(t, x.e + 1, {reach}))), {_quoted(TERM)}, 0))))"
+    entities = (
+        f"array_distinct(transform(base, x -> concat(element_at(array({', '.join(repr(k) for k in KINDS)}), x.k + 1), ':', "
+        f"if(x.k < 2, lower(substring(t, x.s + 1, x.e - x.s)), regexp_replace(substring(t, x.s + 1, x.e - x.s), '[^0-9]', '')))))"
     )
-    found = scratch.table(based.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, F.expr(near)).alias("near")), "base")
-    mentions = found.filter("near is not null").select("doc_id", "text_hash", "base", F.explode("near").alias("x")).select("doc_id", "text_hash", "base", F.col("x.entity").alias("entity"), F.col("x.terms").alias("terms"))
-    held = mentions.select("text_hash", "entity", F.explode("terms").alias("term"))
-    telling = scratch.table(disclosing(own.select("t", "text_hash"), held, scratch, alpha, support), "telling")
-    wanted = mentions.select("text_hash", "entity").distinct().join(telling, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("telling"))
+    found = scratch.table(based.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, F.expr(entities)).alias("entities")), "base")
+    mentions = found.filter("entities is not null").select("text_hash", F.explode("entities").alias("entity")).distinct()
+    telling = scratch.table(disclosing(own.select("t", "text_hash"), mentions, scratch, alpha, support), "telling")
+    wanted = mentions.join(telling, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("telling"))
     marks = _fold(TERM, 4, "array_contains(telling, lower(x.m))")
     texts = own.join(wanted, "text_hash").dropDuplicates(["text_hash"]).select("text_hash", F.expr(marks).alias("marks"))
     more = scratch.table(texts, "marks")

@@ -334,6 +334,21 @@ def test_op8_terms_that_give_an_entity_away(spark):
     assert "[TERM]" in pii.sanitise(docs, Scratch(spark, "t")).filter("doc_id = 0").first().text
 
 
+@pytest.mark.parametrize("near", [0, 2])
+def test_op8_terms_far_from_their_entity(spark, near):
+    rows = []
+    for k in range(12):
+        gap = "" if k < near else " ".join(f"f{k}x{i}" for i in range(60))
+        rows.append((k, f"zo@host.example {gap} signed: Zorblax"))
+    rows += [(100 + k, f"the people of town {k} signed today as ever") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(docs, Scratch(spark, "t")).collect()}
+    for k, text in rows[:12]:
+        at = text.index("Zorblax")
+        assert got[k] == f"email:0:15,term:{at}:{at + 7}"
+    assert not any(got[100 + k] for k in range(200))
+
+
 # -- classifier ------------------------------------------------------------------------------
 
 
