@@ -46,7 +46,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexigrain.llm import rules
 
-    return rules.judge(_read(spark, sf_dir, "documents"))
+    return rules.judge(_read(spark, sf_dir, "documents"), text=True).drop("failed_lines", "kept_text")
 
 
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

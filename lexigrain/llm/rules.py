@@ -45,6 +45,7 @@ CLOSING = b".!?:;\"')]"
 CLOSING_WIDE = ("…", "”", "’", "»", "。", "！", "？")
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines_failed long, n_words_lost long, kept boolean"
+TEXT_SCHEMA = SCHEMA + ", failed_lines array<long>, kept_text string"
 _PHRASES = re.compile(b"|".join(re.escape(p.encode()) for p in BOILERPLATE))
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -75,8 +76,8 @@ def _first_of_equal(groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, n
     return later, many
 
 
-def measure(data: np.ndarray, offsets: np.ndarray, most_lost: int) -> dict[str, np.ndarray]:
-    """The columns of SCHEMA (without doc_id) for a block of documents."""
+def measure(data: np.ndarray, offsets: np.ndarray, most_lost: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The columns of SCHEMA (without doc_id) for a block of documents; the documents and starts of failed lines."""
     n = len(offsets) - 1
     start, end, first = B.words(data, offsets)
     word_doc = np.repeat(np.arange(n), np.diff(first))
@@ -132,7 +133,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, most_lost: int) -> dict[str,
     lost = per_doc(words * fails)
     n_repeat = repeated[first[1:]] - repeated[first[:-1]]
     base_failed = (n_words < 20) | (100 * n_repeat > 30 * n_words)
-    return {
+    columns = {
         "n_words": n_words,
         "word_chars": chars[first[1:]] - chars[first[:-1]],
         "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]],
@@ -143,16 +144,41 @@ def measure(data: np.ndarray, offsets: np.ndarray, most_lost: int) -> dict[str,
         "n_words_lost": lost,
         "kept": ~base_failed & (100 * lost <= most_lost * n_words),
     }
+    return columns, line_doc[fails], line_start[fails]
 
 
-def judge(docs: DataFrame, most_lost: int = 40) -> DataFrame:
-    """Counts and verdict of every document; one pass, no shuffle."""
+def without_lines(raw: bytes, starts: list[int]) -> tuple[list[int], str]:
+    """Numbers (from 0) of the lines that start at ``starts``, and the text of the others."""
+    numbers, at, n = [], 0, 0
+    for start in starts:
+        n += raw.count(b"\n", at, start)
+        at = start
+        numbers.append(n)
+    gone = set(numbers)
+    lines = raw.split(b"\n") if gone else [raw]
+    return numbers, b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()
+
+
+def judge(docs: DataFrame, most_lost: int = 40, text: bool = False) -> DataFrame:
+    """Counts and verdict of every document, with ``text`` also TEXT_SCHEMA's; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.utf8(batch.column(1))
             for lo, hi in B.blocks(offsets):
-                part = measure(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], most_lost)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, part.values())], ["doc_id", *part])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+                block, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                part, failed_doc, failed_start = measure(block, bounds, most_lost)
+                columns = {"doc_id": batch.column(0).slice(lo, hi - lo), **{k: pa.array(v) for k, v in part.items()}}
+                if text:
+                    first = np.searchsorted(failed_doc, np.arange(hi - lo + 1))
+                    cleaned = [without_lines(block[bounds[d] : bounds[d + 1]].tobytes(), (failed_start[first[d] : first[d + 1]] - bounds[d]).tolist()) for d in range(hi - lo)]
+                    columns["failed_lines"] = pa.array([c[0] for c in cleaned], pa.list_(pa.int64()))
+                    columns["kept_text"] = pa.array([c[1] for c in cleaned], pa.string())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TEXT_SCHEMA if text else SCHEMA)
+
+
+def clean(docs: DataFrame, most_lost: int = 40) -> DataFrame:
+    """(doc_id, text): the kept documents without their failed lines."""
+    return judge(docs, most_lost, text=True).filter("kept").select("doc_id", F.col("kept_text").alias("text"))

@@ -197,6 +197,16 @@ def test_op5_counts(spark):
     assert r.base_failed and not r.kept and r.n_lines_failed >= 1
 
 
+def test_op5_failed_lines_are_taken_out(spark):
+    good = ["One plain line of words stands here.", "", "Ä second line of words ends well.", "And a third that says a few things more here."]
+    text = "\n".join([good[0], "menu | home | about | help", good[1], "click here", good[2], "fragment", good[3]]) + "\n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "Fine."), (4, "fragment")], "doc_id long, text string")
+    got = {r.doc_id: r for r in rules.judge(docs, text=True).collect()}
+    assert got[1].failed_lines == [1, 3, 5] and got[1].kept_text == "\n".join(good) + "\n" and got[1].n_lines_failed == 3
+    assert [(got[k].failed_lines, got[k].kept_text) for k in (2, 3, 4)] == [([], ""), ([], "Fine."), ([0], "")]
+    assert [(r.doc_id, r.text) for r in rules.clean(docs).collect()] == [(1, "\n".join(good) + "\n")]
+
+
 def test_op5_odd_rows(spark):
     got = {(r.doc_id, r.n_words, r.kept) for r in rules.judge(frame(spark, ODD, True)).collect()}
     assert (1, 0, False) in got and (2, 0, False) in got and (5, 1, False) in got
