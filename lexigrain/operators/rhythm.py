@@ -1,4 +1,4 @@
-"""Rhythm of sentences in syllables: phrases, their variability, end weight, landing of paragraphs."""
+"""Rhythm of sentences in syllables: phrases, their variability, end weight."""
 
 from __future__ import annotations
 
