@@ -7,7 +7,7 @@ its own).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,12 @@ LOWER[65:91] += 32
 _RNG = np.random.Generator(np.random.PCG64(20240601))
 #: A random 64-bit value for each byte, all different from zero.
 BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Ranges of bytes are hashed as polynomials modulo this prime, whose powers of two are rotations.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_BASE = 0x9E3779B97F4A7C15 % PRIME
+_INVERSE = pow(_BASE, -1, PRIME)
+_powers: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,29 +39,69 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _rotated(x: np.ndarray, k: int) -> np.ndarray:
+    """x * 2**k modulo PRIME, for x below 2**61."""
+    return ((x << np.uint64(k)) & _P) | (x >> np.uint64(61 - k))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME for values below it."""
+    low = np.uint64(0xFFFFFFFF)
+    ah, al, bh, bl = a >> np.uint64(32), a & low, b >> np.uint64(32), b & low
+    middle, small = ah * bl + al * bh, al * bl
+    return _reduced((ah * bh << np.uint64(3)) + (middle >> np.uint64(29)) + ((middle & np.uint64(0x1FFFFFFF)) << np.uint64(32)) + (small & _P) + (small >> np.uint64(61)))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 and their inverses, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
+    """The base's powers 0..n-1 and their inverses, modulo PRIME."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(n - 1, 1 << 20).bit_length()
+        _powers.clear()
+        for base in (_BASE, _INVERSE):
+            p = np.empty(size, np.uint64)
+            p[0], have, step = 1, 1, base
+            while have < size:  # the second half is the first times base**have
+                p[have : 2 * have] = times(p[:have], np.uint64(step))
+                have, step = 2 * have, step * step % PRIME
+            _powers.append(p)
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """S with S[b] - S[a] the polynomial of values[a:b] times BASE**a."""
-    p, _ = powers(len(values))
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p, dtype=np.uint64, out=out[1:])
-    return out
+class Ranges:
+    """Hashes of ranges of bytes; equal content gives equal hashes wherever it stands.
 
+    Powers are split into three parts of at most 21 bits, so that sums of them
+    times a byte stay exact, and are reduced only where a range begins or ends.
+    """
+
+    def __init__(self, data: np.ndarray):
+        p, self.inverse = powers(len(data) + 1)
+        p, keys, part = p[: len(data)], data.astype(np.uint64) + np.uint64(1), np.uint64((1 << 21) - 1)
+        self.sums = []
+        for k in (0, 21, 42):
+            out = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(keys * ((p >> np.uint64(k)) & part), out=out[1:])
+            self.sums.append(out)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(start), np.uint64)
+        for k, s in zip((0, 21, 42), self.sums, strict=True):
+            total = total + _rotated(_reduced(s[end] - s[start]), k)
+        return mix(times(_reduced(total), self.inverse[start]) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end]; equal content gives equal hashes wherever it stands."""
-    _, inverse = powers(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+def runs(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashes of values[first : first + count] for short runs: each step mixes one value in, so order counts."""
+    h = count.astype(np.uint64)
+    for k in range(int(count.max(initial=0))):
+        on = k < count
+        h = np.where(on, mix(h * np.uint64(0x9E3779B97F4A7C15) + values[np.where(on, first + k, 0)]), h)
+    return h
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,3 +144,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
     return start, end, np.searchsorted(start, offsets)
+
+
+def spare(columns: Sequence[str], name: str) -> str:
+    """A column name like ``name`` that ``columns`` has not."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -89,7 +89,7 @@ def features(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.n
     total = counts.sum(axis=1, keepdims=True)
     pooled = counts @ vectors / np.maximum(total, 1)
     start, end, first = B.words(data, offsets)
-    hashes = B.range_hash(B.prefix_sums(B.BYTE_KEYS[B.LOWER[data]]), start, end)
+    hashes = B.Ranges(B.LOWER[data]).hash(start, end)
     word_doc = np.repeat(np.arange(n), np.diff(first))
     n_words = np.diff(first)
     again = np.bincount(word_doc[1:][(hashes[1:] == hashes[:-1]) & (word_doc[1:] == word_doc[:-1])], minlength=n) if len(start) else np.zeros(n)

@@ -51,14 +51,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int, lower: bool = Tr
     n = len(offsets) - 1
     raw = B.LOWER[data] if lower else data
     start, end, first = B.words(raw, offsets)
-    words = B.range_hash(B.prefix_sums(B.BYTE_KEYS[raw]), start, end)
-    sums = B.prefix_sums(words)
+    words = B.Ranges(raw).hash(start, end)
     n_words = np.diff(first)
     counts = np.where(n_words >= width, n_words - width + 1, (n_words > 0).astype(np.int64))
     doc = np.repeat(np.arange(n), counts)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     a = first[doc] + k
-    h = B.range_hash(sums, a, np.minimum(a + width, first[doc + 1]))
+    h = B.runs(words, a, np.minimum(a + width, first[doc + 1]) - a)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)

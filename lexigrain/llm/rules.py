@@ -87,14 +87,12 @@ def measure(data: np.ndarray, offsets: np.ndarray, most_lost: int) -> tuple[dict
     symbols = _sums(_SYMBOL[data])
 
     # words in repeated 8-word windows of the same text
-    hashes = B.range_hash(B.prefix_sums(B.BYTE_KEYS[data]), start, end)
+    ranges = B.Ranges(data)
+    hashes = ranges.hash(start, end)
     repeat = np.zeros(len(start) + 1, np.int64)
     if len(start) >= 8:
-        window = np.zeros(len(start) - 7, np.uint64)
-        for k in range(8):
-            window = window * np.uint64(0xD6E8FEB86659FD93) + hashes[k : len(hashes) - 7 + k]
         whole = np.flatnonzero(word_doc[7:] == word_doc[:-7])
-        _, many = _first_of_equal(word_doc[whole], B.mix(window[whole]))
+        _, many = _first_of_equal(word_doc[whole], B.runs(hashes, whole, np.full(len(whole), 8)))
         np.add.at(repeat, whole[many], 1)
         np.add.at(repeat, whole[many] + 8, -1)
     repeated = _sums(np.cumsum(repeat)[:-1] > 0)
@@ -110,8 +108,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, most_lost: int) -> tuple[dict
     worded = w1 > w0
     line_start, line_end, line_doc, w0, w1 = (x[worded] for x in (line_start, line_end, line_doc, w0, w1))
     content_end = np.where((line_end > line_start) & (data[line_end - 1] == 10), line_end - 1, line_end) if len(line_start) else line_end
-    sums = B.prefix_sums(B.BYTE_KEYS[data])
-    later, _ = _first_of_equal(line_doc, B.range_hash(sums, line_start, content_end))
+    later, _ = _first_of_equal(line_doc, ranges.hash(line_start, content_end))
     words = w1 - w0
     bangs, bars = _sums(data == 33), _sums((data == 124) | (data == 62))
     n_sym, n_bang, n_bar = (x[line_end] - x[line_start] for x in (symbols, bangs, bars))

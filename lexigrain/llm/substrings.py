@@ -36,7 +36,6 @@ from lexigrain.llm import induced
 from lexigrain.storage import Scratch
 
 ANCHOR = 100
-OTHER_KEYS = B.mix(B.BYTE_KEYS) | np.uint64(1)
 ANCHORS = "anchor long, n1 long, n2 long, doc_id long, text_hash long, at long, size int, end long, n long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
@@ -50,15 +49,22 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of each ``ANCHOR``-byte string, modulo 2**64: it picks and groups places, and never decides that texts are equal."""
+    base = 0x9E3779B97F4A7C15
+    powers, inverse = (np.cumprod(np.full(len(data), b, np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 2**64)))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(B.BYTE_KEYS[data] * powers, out=sums[1:])
+    n = len(data) - ANCHOR + 1
+    return B.mix((sums[ANCHOR:] - sums[:n]) * inverse[:n])
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """(row, at, hash, n1, n2, start, end): anchors of a block with their neighbourhoods' hashes and bounds."""
     none = tuple(np.zeros(0, np.int64) for _ in range(7))
     if len(data) < width:
         return none
-    sums = B.prefix_sums(B.BYTE_KEYS[data])
-    _, inverse = B.powers(len(sums))
-    grams = len(data) - ANCHOR + 1
-    h = B.mix((sums[ANCHOR:] - sums[:grams]) * inverse[:grams])
+    h = _grams(data)
     key = (h >> np.uint64(32)).astype(np.uint32)
     reach = width - ANCHOR + 1
     least = _sliding(key, reach, np.minimum)  # for the window that starts at each byte
@@ -78,10 +84,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
         return none
     start = np.maximum(at - (width - ANCHOR), offsets[row])
     end = np.minimum(at + width, offsets[row + 1])
-    lead = (at - start).astype(np.uint64)
-    n1 = B.mix(B.range_hash(sums, start, end) + lead)
-    n2 = B.mix(B.range_hash(B.prefix_sums(OTHER_KEYS[data]), start, end) + lead)
-    return row, at, h[at], n1, n2, start, end
+    raw = data.tobytes()
+    digests = [hashlib.blake2b(raw[a:b], digest_size=16, salt=(c - a).to_bytes(8, "little")).digest() for a, b, c in zip(start.tolist(), end.tolist(), at.tolist(), strict=True)]
+    pairs = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    return row, at, h[at], np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), start, end
 
 
 def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
