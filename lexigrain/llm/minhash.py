@@ -8,15 +8,22 @@ threshold meets in no band with probability under 1e-6.
 
 No bucket emits all its pairs. Its pivot is the node that most others meet in
 all buckets; every other node meets the pivot only, on full sets, and
-components are formed. Then, for a node x that is not linked with its pivot p,
-and any y of the bucket, write D for what p has and the node lacks, A for what
-the node has and p lacks. A link of x and y needs
-    |Ax & Ay| >= need(x, y) = t (|x| + |y|) - |p| + max(|Dx|, |Dy|),
-t = threshold / (1 + threshold). So x and y meet only if they share one of the
-rarest added shingles that this need leaves as a prefix, or if need <= 0. Thousands
-of copies of one text, each changed in its own way, share nothing of the kind.
-Pairs that are left are verified by signature (at a margin of six standard
-errors) and then on full sets. No link between different components is lost.
+components are formed. What is left are pairs of a node x that is not linked
+with its pivot p and any y of the bucket from another component. Let D be what
+p has and a node lacks, A what the node has and p lacks, S = D + A. Then, for a
+threshold of num / den, x and y are linked exactly if
+    2 (num + den) |Sx & Sy| >= far(x) + far(y),
+    far(x) = 2 num |x| + 2 (num + den) |Dx| - (num + den) |p|,
+and as x is not linked with p, the right side is positive: x and y must share a
+token of S. Both sides are known, so each pair has its own prefix: with tokens
+ordered from rare to common in the star, the first shared one lies among the
+first |S| - need + 1 of both. Thousands of copies of one text, each changed in
+its own way, have their own changes in that prefix and meet nowhere.
+Of the pairs that pass, first one for each node and component is verified (by
+signature at a margin of six standard errors, then on full sets), components are
+merged, and only pairs that are still apart follow. No link between different
+components is lost. How many pairs pass depends on the texts: nodes that share
+rare changes and yet are not alike are compared one by one.
 
 Cases: null, empty and wordless texts have an empty set and are linked with
 nothing; fewer words than a shingle make one shingle; repeated rows are copies;
@@ -42,7 +49,11 @@ _RNG = np.random.Generator(np.random.PCG64(42))
 #: h(x) = a * x + b modulo 2**32 with odd a, compared by the high bits first.
 A = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 C = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
-STAR = "node binary, pivot binary, linked boolean, nx long, np long, nd long, added array<long>"
+STAR = "node binary, pivot binary, linked boolean, n long, far long, least long, tokens array<long>"
+#: Nodes of a pivot that one copy of its text serves.
+MOST_SERVED = 128
+#: Pivots (16 bytes each) that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 SIGNED = "doc_id long, text_hash long, n_shingles long, node binary, signature binary, bands array<long>"
 
 
@@ -158,50 +169,77 @@ def _compared(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, n
 
 
 def stars(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """STAR for nodes and pivots (node, pivot): is it a link; sizes; what the pivot has and the node lacks (count) and the reverse (hashes)."""
-    both = pairs.join(texts.select("node", F.col("text").alias("tu")), "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("tv")), "pivot")
+    """STAR for nodes and pivots (node, pivot): is it a link; the size of S; far; what S must share with any partner; S itself.
+
+    A pivot's text is copied once for each MOST_SERVED of its nodes, so that no task has to take them all.
+    """
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / MOST_SERVED).cast("int").alias("copies"))
+    dealt = pairs.join(sizes, "pivot").withColumn("copy", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int")).drop("copies")
+    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("tv")).join(sizes, "pivot").select("pivot", "tv", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    both = dealt.join(texts.select("node", F.col("text").alias("tu")), "node").join(pivots, ["pivot", "copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = num + den
         for batch in batches:
-            linked, nx, np_, nd, added = [], [], [], [], []
+            linked, n, far, least, tokens = [], [], [], [], []
             for x, p, common in _compared(batch, width):
-                linked.append(den * common >= num * (len(x) + len(p) - common))
-                nx.append(len(x))
-                np_.append(len(p))
-                nd.append(len(p) - common)
-                added.append(np.setdiff1d(x, p, assume_unique=True).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(nx, pa.int64()), pa.array(np_, pa.int64()), pa.array(nd, pa.int64()), pa.array(added, pa.list_(pa.int64()))], ["node", "pivot", "linked", "nx", "np", "nd", "added"])
+                own = np.setxor1d(x, p, assume_unique=True)
+                gap = (den - num) * len(p)
+                f = 2 * num * len(x) + 2 * k * (len(p) - common) - k * len(p)
+                linked.append(f <= gap)
+                n.append(len(own))
+                far.append(f)
+                # no partner of an unlinked node is nearer than the pivot; each partner of a linked one is farther than the links go
+                least.append(-((gap - f) // (2 * k)) if f > gap else -(-(f + gap + 1) // (2 * k)))
+                tokens.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n, pa.int64()), pa.array(far, pa.int64()), pa.array(least, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "pivot", "linked", "n", "far", "least", "tokens"])
 
     return both.select("node", "pivot", "tu", "tv").mapInArrow(run, STAR)
 
 
-def within_stars(star: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) of one star, from different components, that the bound on shared additions leaves.
+def prefixes(star: DataFrame) -> DataFrame:
+    """pivot, token, node, linked, n, far, at: the tokens in which a node can meet an unlinked one; at counts from 1, rare to common."""
+    # a star without unlinked nodes has one component: nothing to compare
+    open_ = star.filter("not linked").select("pivot").distinct()
+    open_ = F.broadcast(open_) if open_.count() <= MOST_BROADCAST else open_
+    own = star.join(open_, "pivot", "left_semi").select("pivot", "node", "linked", "n", "far", "least", F.explode("tokens").alias("token"))
+    # tokens of one node alone come first and meet nobody: they only count
+    counts = own.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("times"), F.min("linked").alias("all_linked")).filter("times > 1")
+    each = Window.partitionBy("pivot", "node")
+    met = own.join(counts, ["pivot", "token"]).withColumn("at", F.col("n") - F.count(F.lit(1)).over(each) + F.row_number().over(each.orderBy("times", "token")))
+    return met.filter("at <= n - least + 1 and not all_linked").select("pivot", "token", "node", "linked", "n", "far", "at")
+
+
+def apart(tokens: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v, component): an unlinked node u and a node v of another component that may be linked; may repeat.
 
     ``placed`` has the component of each node that has one.
     """
-    t, theta = num / (num + den), num / den
-    own = star.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    short = t * (F.col("nx") + F.col("np")) - F.col("np") + F.col("nd")
-    own = own.withColumn("least", short + t * (theta * F.col("nx") - F.col("np")) - 1e-6)
-    length = F.when(~F.col("linked") & (F.col("least") > 0), F.size("added") - F.ceil("least") + 1).otherwise(F.size("added"))
-    # a star without unlinked nodes has one component: nothing to compare
-    open_ = own.groupBy("pivot").agg(F.min("linked").alias("all_linked")).filter("not all_linked").select("pivot")
-    own = own.join(open_, "pivot", "left_semi").withColumn("keep", length)
-    tokens = own.filter("keep > 0").select("pivot", "node", "linked", "component", "nx", "np", "nd", "keep", F.explode("added").alias("token"))
-    counts = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("times"), F.min("linked").alias("all_linked"))
-    rarest = Window.partitionBy("pivot", "node").orderBy("times", "token")
-    # all tokens are ranked, but only those that an unlinked node has too can make a pair
-    ranked = tokens.join(counts, ["pivot", "token"]).withColumn("rank", F.row_number().over(rarest)).filter("rank <= keep and times > 1 and not all_linked")
-    x, y = ranked.filter("not linked").alias("x"), ranked.alias("y")
-    need = lambda a, b: t * (F.col(f"{a}.nx") + F.col(f"{b}.nx")) - F.col(f"{a}.np") + F.greatest(f"{a}.nd", f"{b}.nd")
-    fits = lambda a, b: F.least(f"{a}.nx", f"{b}.nx") * den >= F.greatest(f"{a}.nx", f"{b}.nx") * num
-    apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.linked") & (F.col("x.node") < F.col("y.node")) | F.col("y.linked")) & fits("x", "y")
-    shared = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    x, y = own.filter("not linked and least <= 0").alias("x"), own.alias("y")
-    near = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") != F.col("y.node")) & fits("x", "y") & (need("x", "y") <= 1e-6))
-    both = shared.unionByName(near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    own = tokens.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    x, y = own.filter("not linked").alias("x"), own.alias("y")
+    need = F.ceil((F.col("x.far") + F.col("y.far")) / (2 * (num + den)))
+    other = (F.col("x.component") != F.col("y.component")) & (F.col("y.linked") | (F.col("x.node") < F.col("y.node")))
+    within = (F.col("x.at") <= F.col("x.n") - need + 1) & (F.col("y.at") <= F.col("y.n") - need + 1)
+    both = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & other & within)
+    return both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("y.component").alias("component"))
+
+
+def rest(star: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
+    """``linked`` (node, component) with the links inside stars that do not touch the pivot."""
+    join = lambda placed, more, name: connected(placed.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, name)
+    tokens = scratch.table(prefixes(star), "prefixes")
+    # one partner of each component for a node: most links are found so, and merge what else would be compared
+    first = scratch.table(apart(tokens, linked, num, den).groupBy("u", "component").agg(F.min("v").alias("v"), F.max("v").alias("last")), "first")
+    if first.isEmpty():
+        return linked
+    found = scratch.table(verified(first.select("u", "v"), nodes, texts, width, num, den), "found")
+    if not found.isEmpty():
+        linked = scratch.table(join(linked, found, "b"), "merged")
+    if first.filter("v != last").isEmpty():
+        return linked
+    left = apart(tokens, linked, num, den).select("u", "v").distinct().join(first.select("u", "v"), ["u", "v"], "left_anti")
+    found = scratch.table(verified(left, nodes, texts, width, num, den), "found2")
+    return linked if found.isEmpty() else join(linked, found, "c")
 
 
 def components(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
@@ -227,11 +265,7 @@ def components(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int
     star = scratch.table(stars(first, texts, width, num, den), "star")
     links = star.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     linked = scratch.table(connected(links, scratch, "a"), "linked")
-    rest = within_stars(star, linked, num, den)
-    more = scratch.table(verified(rest, met, texts, width, num, den), "links2")
-    final = linked
-    if not more.isEmpty():
-        final = connected(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch, "b")
+    final = rest(star, linked, met, texts, scratch, width, num, den)
     grouped = nodes.select("node", "top").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("top.doc_id").alias("component_id"))
     named = scratch.table(grouped.join(smallest, "component").select("node", "component_id"), "named")
@@ -244,6 +278,7 @@ def drop_copies(docs: DataFrame, scratch: Scratch, width: int = 3, num: int = 85
     """``docs`` with one document of each component: the one that names it (of repeated rows, one)."""
     found = components(docs.select("doc_id", "text"), scratch, width, num, den)
     gone = found.filter("not kept").select("doc_id", "text_hash").distinct().alias("g")
-    own = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")
-    left = own.join(gone, [F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), F.col("d._text_hash") == F.col("g.text_hash")], "left_anti")
-    return left.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    name = B.spare(docs.columns, "text_hash")
+    own = docs.withColumn(name, F.xxhash64("text")).alias("d")
+    left = own.join(gone, [F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), F.col(f"d.{name}") == F.col("g.text_hash")], "left_anti")
+    return left.dropDuplicates(["doc_id", name]).select(*docs.columns)

@@ -299,6 +299,45 @@ def test_op7_against_brute_force(spark, corpus, width, num):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(want, key=str)
 
 
+def changed_copies(n, edits, seed, size=150):
+    """Copies of one text that nobody has unchanged, each with so many words replaced."""
+    rng = random.Random(seed)
+    base = words(rng, size, 10**6)
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(1 + rng.randrange(edits)):
+            w[rng.randrange(size)] = f"c{rng.randrange(10**6)}"
+        out.append((k, " ".join(w), "en", "a", 0))
+    return out
+
+
+@pytest.mark.parametrize(("n", "edits", "width", "num"), [(500, 16, 3, 85), (500, 4, 5, 80), (300, 9, 3, 85)])
+def test_op7_many_changed_copies(spark, n, edits, width, num, monkeypatch):
+    rows = changed_copies(n, edits, n + edits)
+    seen = []
+    monkeypatch.setattr(minhash, "MOST_SERVED", 16)
+    pairs_of = minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *rest: (seen.append(pairs.count()), pairs_of(pairs, *rest))[1])
+    got = minhash.components(frame(spark, rows).select("doc_id", "text"), Scratch(spark, "t"), width, num, 100).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components_by_brute_force(rows, width, num, 100))
+    assert sum(seen) <= 4 * n  # of n * (n - 1) / 2 pairs
+
+
+def test_op7_tells_thue_morse_words_apart(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, a, "en", "a", 0), (2, b, "en", "a", 0), (3, a, "en", "a", 0)]
+    got = {r.doc_id: r.component_id for r in minhash.components(frame(spark, rows).select("doc_id", "text"), Scratch(spark, "t"), 3, 85, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    docs = spark.createDataFrame([(1, f"{a}\n{b}\n{a}")], "doc_id long, text string")
+    assert rules.judge(docs).first().n_dup_lines == 1
+    texts = [f"{a}xx", f"yy{b}", f"zz{a[:700]}"]
+    got = substrings.dedup(frame(spark, [(k, t, "en", "a", 0) for k, t in enumerate(texts)]), Scratch(spark, "t")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == sorted((k, *w) for k, w in enumerate(removed_by_brute_force(texts, 400)))
+
+
 def test_op7_of_nothing(spark):
     assert minhash.components(frame(spark, []).select("doc_id", "text"), Scratch(spark, "t"), 3, 85, 100).count() == 0
 
