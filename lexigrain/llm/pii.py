@@ -9,10 +9,16 @@ entity: with c(.) counting distinct texts of the whole corpus,
 
 A term whose PMI reaches ``alpha`` times the entity's information content, on
 at least ``support`` texts, is a further span in every text that holds the
-entity: removed if it gives all of the information, else generalised.
+entity. ``sanitise`` removes it where it gives all of the information (it is in
+no text without the entity), and else generalises it to a mark of its shape.
+``support`` is a statistical limit: of an entity in one or two texts every other
+rare word of them would be a disclosing term, on no evidence at all. The
+entities themselves are spans whatever their number.
 
 Offsets are code points, ends exclusive. Matches have no positions in SQL, so
-they come from the pieces between matches: a fold adds up the lengths of both.
+they come from the pieces between matches: a fold adds up the lengths of both,
+in stretches of ``STRETCH`` matches that are shifted into place afterwards, so
+that a text with very many matches isn't copied for each of them.
 All patterns run in linear time on texts without blanks (possessive runs that
 start at a run's edge or at the end of the previous match).
 
@@ -26,9 +32,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.llm import blocks as B
 from lexigrain.storage import Scratch
 
-KINDS = ("email", "ip", "card", "phone", "term")
+#: A removed term (the last) is written like any other term.
+KINDS = ("email", "ip", "card", "phone", "term", "term")
+STRETCH = 256
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -57,21 +66,25 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
-def _fold(pattern: str, kind: int, check: str, text: str = "t") -> str:
-    """SQL: the (s, k, e) of all matches that pass ``check`` (on x.m)."""
+def _fold(pattern: str, kind: str, check: str, text: str = "t") -> str:
+    """SQL: the (s, k, e) of all matches that pass ``check`` (on x.m); ``kind`` may look at x.m too."""
     p = _quoted(pattern)
-    return (
-        f"aggregate(zip_with(split({text}, {p}), regexp_extract_all({text}, {p}, 0), (g, m) -> named_struct('g', g, 'm', m)), "
-        f"named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (a, x) -> named_struct("
-        f"'at', a.at + length(x.g) + coalesce(length(x.m), 0), "
-        f"'out', if(x.m is not null and ({check}), concat(a.out, array(named_struct('s', a.at + length(x.g), 'k', {kind}, 'e', a.at + length(x.g) + length(x.m)))), a.out)), a -> a.out)"
-    )
+    none = f"cast(array() as array<{SPAN}>)"
+    pieces = f"zip_with(split({text}, {p}), regexp_extract_all({text}, {p}, 0), (g, m) -> named_struct('g', g, 'm', m))"
+    span = f"named_struct('s', a.at + length(x.g), 'k', {kind}, 'e', a.at + length(x.g) + length(x.m))"
+    step = f"named_struct('at', a.at + length(x.g) + coalesce(length(x.m), 0), 'out', if(x.m is not null and ({check}), concat(a.out, array({span})), a.out))"
+    one = f"aggregate(slice(z, i * {STRETCH} + 1, {STRETCH}), named_struct('at', 0, 'out', {none}), (a, x) -> {step})"
+    shifted = "transform(c.out, y -> named_struct('s', y.s + b.at, 'k', y.k, 'e', y.e + b.at))"
+    # the one-element array names the pieces z, which are found once
+    stretches = f"element_at(transform(array({pieces}), z -> transform(sequence(0, (size(z) - 1) div {STRETCH}), i -> {one})), 1)"
+    joined = f"aggregate({stretches}, named_struct('at', 0, 'out', cast(array() as array<array<{SPAN}>>)), (b, c) -> named_struct('at', b.at + c.at, 'out', if(size(c.out) > 0, concat(b.out, array({shifted})), b.out)), b -> flatten(b.out))"
+    return joined
 
 
 def with_base(docs: DataFrame) -> DataFrame:
     """Adds ``base``: sorted spans of the four kinds of a text column ``t``."""
     docs = docs.withColumn("digits", F.expr("t rlike '[0-9]'"))
-    lists = [f"if({SIGNS[k]}, {_fold(PATTERNS[k], i, CHECKS[k])}, cast(array() as array<{SPAN}>))" for i, k in enumerate(KINDS[:4])]
+    lists = [f"if({SIGNS[k]}, {_fold(PATTERNS[k], str(i), CHECKS[k])}, cast(array() as array<{SPAN}>))" for i, k in enumerate(KINDS[:4])]
     return docs.withColumn("base", F.expr(f"array_sort(concat({', '.join(lists)}))")).drop("digits")
 
 
@@ -119,9 +132,17 @@ def find(docs: DataFrame, scratch: Scratch, alpha: float = 0.9, support: int = 3
     found = scratch.table(based.select("doc_id", "text_hash", "base", F.when(F.size("base") > 0, F.expr(entities)).alias("entities")), "base")
     mentions = found.filter("entities is not null").select("text_hash", F.explode("entities").alias("entity")).distinct()
     telling = scratch.table(disclosing(own.select("t", "text_hash"), mentions, scratch, alpha, support), "telling")
-    wanted = mentions.join(telling, "entity").groupBy("text_hash").agg(F.collect_set("term").alias("telling"))
-    marks = _fold(TERM, 4, "array_contains(telling, lower(x.m))")
-    texts = own.join(wanted, "text_hash").dropDuplicates(["text_hash"]).select("text_hash", F.expr(marks).alias("marks"))
+    # a term that is removed for one entity of a text is removed for all
+    terms = mentions.join(telling, "entity").groupBy("text_hash", "term").agg(F.max(F.col("share") >= 1 - 1e-9).alias("whole"))
+    wanted = terms.groupBy("text_hash").agg(F.collect_set("term").alias("telling"), F.collect_set(F.when(F.col("whole"), F.col("term"))).alias("gone"))
+    # of equal texts only one is read again and moves
+    first = found.filter("entities is not null").groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"))
+    wanted = scratch.table(wanted.join(first, "text_hash"), "wanted")
+    asked = F.broadcast(wanted.select("text_hash").distinct()) if wanted.count() <= MOST_BROADCAST else wanted.select("text_hash").distinct()
+    some = own.join(asked, "text_hash", "left_semi").alias("o")
+    marks = _fold(TERM, "if(array_contains(gone, lower(x.m)), 5, 4)", "array_contains(telling, lower(x.m))")
+    one = some.join(wanted.alias("w"), [F.col("o.text_hash") == F.col("w.text_hash"), F.col("o.doc_id").eqNullSafe(F.col("w.doc_id"))])
+    texts = one.select("w.text_hash", "t", "telling", "gone").dropDuplicates(["text_hash"]).select("text_hash", F.expr(marks).alias("marks"))
     more = scratch.table(texts, "marks")
     joined = found.select("doc_id", "text_hash", "base").join(more, "text_hash", "left")
     apart = "filter(coalesce(marks, cast(array() as array<struct<s:int,k:int,e:int>>)), m -> not exists(base, b -> b.s < m.e and m.s < b.e))"
@@ -141,15 +162,21 @@ def report(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """``docs`` with each span's text replaced by its kind in brackets; overlapping spans give one mark."""
+    """``docs`` with its spans replaced: base kinds by their name in brackets, generalised terms by [Term] or [term] as they began, removed terms by nothing.
+
+    Overlapping spans give one mark.
+    """
     found = find(docs.select("doc_id", "text"), scratch, **options).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"]).alias("f")
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
-    joined = own.join(found, [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("d._h") == F.col("f.text_hash")], "left")
-    names = ", ".join(repr(f"[{k.upper()}]") for k in KINDS)
+    name = B.spare(docs.columns, "text_hash")
+    own = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
+    joined = own.join(found, [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), F.col(f"d.{name}") == F.col("f.text_hash")], "left")
+    names = ", ".join(repr(f"[{k.upper()}]") for k in KINDS[:4])
+    word = "substring(d.text, x.s + 1, 1)"
+    mark = f"case when x.k < 4 then element_at(array({names}), x.k + 1) when x.k = 5 then '' when {word} != lower({word}) then '[Term]' else '[term]' end"
     masked = (
-        f"aggregate(spans, named_struct('at', 0, 'out', cast('' as string)), (a, x) -> if(x.e <= a.at, a, named_struct('at', x.e, 'out', "
-        f"concat(a.out, if(x.s >= a.at, concat(substring(d.text, a.at + 1, x.s - a.at), element_at(array({names}), x.k + 1)), '')))), "
-        f"a -> concat(a.out, substring(d.text, a.at + 1)))"
+        f"aggregate(f.spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> if(x.e <= a.at, a, named_struct('at', x.e, 'out', "
+        f"concat(a.out, if(x.s >= a.at, array(substring(d.text, a.at + 1, x.s - a.at), {mark}), array())))), "
+        f"a -> concat(array_join(a.out, ''), substring(d.text, a.at + 1)))"
     )
-    text = F.when(F.col("spans").isNotNull(), F.expr(masked)).otherwise(F.col("d.text")).alias("text")
+    text = F.when(F.col("f.spans").isNotNull(), F.expr(masked)).otherwise(F.col("d.text")).alias("text")
     return joined.select(*[text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

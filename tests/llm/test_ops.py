@@ -380,7 +380,108 @@ def test_op8_terms_that_give_an_entity_away(spark):
     at = text.index("Zorblax")
     assert f"term:{at}:{at + 7}" in got[0].split(",")
     assert "term" not in got[100] and f"term:{text.index('the')}" not in got[0]
-    assert "[TERM]" in pii.sanitise(docs, Scratch(spark, "t")).filter("doc_id = 0").first().text
+    extra = docs.withColumn("text_hash", F.lit("x")).withColumn("spans", F.lit(1)).withColumn("_text_hash", F.lit(None).cast("int"))
+    cleaned = pii.sanitise(extra, Scratch(spark, "t"))
+    assert cleaned.columns == extra.columns
+    assert cleaned.filter("doc_id = 0").first().text == "0 the     [EMAIL] today 0"  # filler, agent, Zorblax, writes, from are in no other text
+    assert cleaned.filter("doc_id = 100").first().text == rows[6][1]
+
+
+def test_op8_terms_that_are_generalised(spark):
+    rows = [(k, f"filler{k} signed: Zorblax at zo@host.example") for k in range(20)] + [(50, "a Zorblax elsewhere")]
+    rows += [(100 + k, f"the people of town {k} signed at today as ever") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.sanitise(docs, Scratch(spark, "t"))
+    assert out.filter("doc_id = 3").first().text == "3 signed: [Term] at [EMAIL]"
+    assert out.filter("doc_id = 50").first().text == rows[20][1]
+
+
+def test_op8_many_matches_and_nothing(spark):
+    many = " ".join(f"u{k}@host.example" for k in range(3000))
+    docs = spark.createDataFrame([(1, many), (2, many), (None, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs, Scratch(spark, "t")).collect()}
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", many))
+    assert got[1].spans == got[2].spans == want and got[1].n_email == 3000 and got[None].spans == ""
+    assert pii.report(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+BASE_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_by_brute_force(text):
+    """Spans of the contract's patterns, leftmost and non-overlapping for each kind."""
+    out = []
+    for order, (kind, pattern) in enumerate(BASE_KINDS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255:
+                continue
+            if kind == "card":
+                doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+                if not 14 <= len(digits) <= 19 or sum(d - 9 * (d > 9) for d in doubled) % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), order, kind, m.end()))
+    return ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in sorted(out))
+
+
+def test_op8_base_against_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["a.b@c.de", "x@y", "@z.q", "+49 30 (12) 345-6789", "4111 1111 1111 1111", "10.2.3.4", "999.1.1.1", "1.2.3.4.5", "é", " ", "-", ".", "7", "\n", "word", "%", "+1", "5500-0000-0000-0004"]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs, Scratch(spark, "t")).collect()}
+    for k, text in rows:
+        want = base_by_brute_force(text)
+        assert ",".join(x for x in got[k].spans.split(",") if x and not x.startswith("term")) == want, text
+        assert got[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def terms_by_brute_force(rows, alpha, support):
+    """text -> disclosing words, by the formula over distinct texts."""
+    texts = {t or "" for _, t in rows}
+    entity = {t: {f"{k}:{m.lower()}" if k in ("email", "ip") else f"{k}:{re.sub('[^0-9]', '', m)}" for k, m in ((x.split(":")[0], t[int(x.split(":")[1]) : int(x.split(":")[2])]) for x in base_by_brute_force(t).split(",") if x)} for t in texts}
+    term = {t: set(re.findall("[A-Za-z\x80-\U0010FFFF]{3,}", t.lower())) for t in texts}
+    out = {t: set() for t in texts}
+    for e in set().union(*entity.values()):
+        holders = [t for t in texts if e in entity[t]]
+        for w in set().union(*(term[t] for t in holders)):
+            both, ct = sum(w in term[t] for t in holders), sum(w in term[t] for t in texts)
+            ic = np.log2(len(texts) / len(holders))
+            if both >= support and len(holders) >= support and ic > 0 and np.log2(both * len(texts) / (len(holders) * ct)) >= alpha * ic:
+                for t in holders:
+                    out[t] |= {w} & term[t]
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_op8_terms_against_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_BROADCAST", limit)
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        text = " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(8))}" for _ in range(rng.randrange(30)))
+        if k % 3 == 0:
+            e = rng.randrange(12)
+            text += f" u{e}@host.example " + (f"Name{chr(97 + e)}" if rng.random() < 0.9 else "")
+        rows += [(k, text)] * (1 + (k % 10 == 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(docs, Scratch(spark, "t")).collect()}
+    want = terms_by_brute_force(rows, 0.9, 3)
+    some = 0
+    for k, text in rows:
+        base = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in base_by_brute_force(text).split(",") if x]
+        spans = [(m.start(), m.end()) for m in re.finditer("[A-Za-z\x80-\U0010FFFF]{3,}", text) if m[0].lower() in want[text]]
+        spans = [s for s in spans if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+        assert [x for x in got[k].split(",") if x.startswith("term")] == [f"term:{s}:{e}" for s, e in spans]
+        some += len(spans)
+    assert some > 50
 
 
 @pytest.mark.parametrize("near", [0, 2])
