@@ -103,15 +103,18 @@ def disclosing(docs: DataFrame, mentions: DataFrame, scratch: Scratch, alpha: fl
     words = F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(t), {_quoted(TERM)}, 0)"))).alias("term")
     held = scratch.table(docs.join(holding, "text_hash").select("text_hash", words).distinct(), "held")
     information = F.log2(F.col("n") / F.col("ce"))
-    pmi = lambda ct: F.log2(F.col("both") * F.col("n") / (F.col("ce") * F.col(ct)))
+    pmi = lambda ct: F.log2(F.col("both") * F.col("n") / (F.col("ce") * F.expr(ct)))
     # a term is in at least as many texts as hold it and an entity: most common words end here
     beside = held.groupBy("term").agg(F.count(F.lit(1)).alias("least")).filter(F.col("least") >= support)
     together = common.join(held, "text_hash").groupBy("entity", "term", "ce").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
     together = together.join(beside, "term").crossJoin(F.broadcast(texts))  # one row
     together = scratch.table(together.filter((information > 0) & (pmi("least") >= alpha * information)), "together")
-    terms = together.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
-    seen = docs.select("text_hash", words).join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
+    counts = lambda of, terms: of.select("text_hash", words).join(terms, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("ct"))
+    small = lambda terms: F.broadcast(terms) if terms.count() <= MOST_BROADCAST else terms
+    # a term is in at least as many texts as in any part of them: a sixteenth bounds away the common words, and all texts are counted for the rest
+    part = counts(docs.filter(F.pmod("text_hash", F.lit(16)) == 0), small(together.select("term").distinct())).withColumnRenamed("ct", "part")
+    together = scratch.table(together.join(part, "term", "left").filter(pmi("greatest(coalesce(part, 0L), least)") >= alpha * information).drop("part"), "bounded")
+    seen = counts(docs, small(together.select("term").distinct()))
     joined = together.join(seen, "term")
     return joined.filter(pmi("ct") >= alpha * information).select("entity", "term", (pmi("ct") / information).alias("share"))
 
