@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import re
@@ -539,6 +540,46 @@ def test_op10_round_trip(spark, tmp_path):
     assert sorted(map(tuple, manifest.collect())) == sorted(map(tuple, other.collect()))
 
 
+@pytest.mark.parametrize("ids", [[-(2**63), *range(50), 2**63 - 1], [*range(1000), 2**62], [5] * 60, [None, None, -7, 3, 3]])
+def test_op10_any_ids(spark, tmp_path, ids):
+    rows = [(p, f"http://h/{k}", f"{k} " * 700) for k, p in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("shard", F.lit("x")).withColumn("size", F.lit(1))
+    manifest = warc.write(pages, f"file://{tmp_path}/x", shard_bytes=20_000, roll=5_000).collect()
+    got = warc.read(spark, f"file://{tmp_path}/x").collect()
+    assert sorted((str(r.page_id), r.url, bytes(r.payload)) for r in got) == sorted((str(p), u, h.encode()) for p, u, h in rows)
+    shards = {}
+    for r in manifest:
+        shards[r.shard] = shards.get(r.shard, 0) + r.records
+    if len(set(ids)) > 10:
+        assert max(shards.values()) <= 20  # about 2.5 KB a page, also beside an outlier
+    raw = b"".join(gzip.open(f"{tmp_path}/x/data/{r.file}").read() for r in manifest)
+    names = re.findall(rb"WARC-Record-ID: (<urn:x-page:.*>)", raw)
+    assert len(names) == len(set(names)) == len(rows)
+
+
+def test_op10_a_missing_or_altered_file_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(k, None, f"{k} " * 500) for k in range(60)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/x"
+    first = warc.write(pages, path, shard_bytes=10_000, roll=500).orderBy("file").first()
+    assert warc.read(spark, path).count() == 60
+    file = tmp_path / "x" / "data" / first.file
+    raw = file.read_bytes()
+    file.write_bytes(raw[:-1] + b"x")
+    with pytest.raises(Exception, match="differs from its manifest"):
+        warc.read(spark, path).count()
+    file.unlink()
+    with pytest.raises(Exception, match="is missing"):
+        warc.read(spark, path).count()
+    warc.write(pages, path, shard_bytes=10_000, roll=500)  # a second run puts back what is gone
+    assert warc.read(spark, path).count() == 60
+
+
+def test_op10_rolls_on_plain_size(spark, tmp_path):
+    pages = spark.createDataFrame([(k, None, "a" * 100_000) for k in range(20)], "page_id long, url string, html string")
+    manifest = warc.write(pages, f"file://{tmp_path}/x", least=10**9, roll=20_000).collect()
+    assert len(manifest) > 4 and warc.read(spark, f"file://{tmp_path}/x").count() == 20
+
+
 def test_op10_of_nothing(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(pages, f"file://{tmp_path}/none")
