@@ -1,21 +1,26 @@
 """Quality classifier: random-indexing vectors pooled per document, then a two-layer network.
 
-Units are the byte trigrams around each byte of a word (a space stands for the
-word's edge), hashed to ``UNITS`` rows, so unseen words have vectors too. Each
-unit has a sparse ternary index vector; its word vector adds the index vectors
-of the words next to it, summed over the labelled sample. A document is the
-mean of its units' vectors with its length, the mean's norm and the share of
-words that repeat the word before them. A network with one hidden layer
-scores that, and a temperature fitted on a part it wasn't trained on
-calibrates the score.
+Each of ``UNITS`` classes of byte trigrams (by a hash; a blank stands for a
+word's edge) has a sparse ternary index vector. A word's index vector is the sum
+of its trigrams', brought to unit length, so that words alike in spelling are
+alike, also unseen ones. Its word vector adds half of its context: the index
+vectors of the words within ``REACH`` places, summed over the labelled sample in
+one of ``ROWS`` rows that a hash gives the word, at unit length (nothing for words
+that the sample has not). A document is the mean of its words' vectors with its
+length, the mean's norm and the share of words that repeat the word before them.
+A network with one hidden layer scores that, and a temperature fitted on a part
+it wasn't trained on calibrates the score.
 
 Fitting uses at most ``sample`` labelled documents (documented bound; the ones
-with the lowest hash of doc_id); scoring covers every document.
+with the lowest hash of doc_id, one row of each); scoring covers every document.
 
-Cases: null is an empty text and gets the score of a document without units;
+Cases: null is an empty text and gets the score of a document without words;
 without labels every score is 0.5, with labels of one kind only the smoothed
 share; a null quality is no label; of several labels of one doc_id the largest
-counts; repeated rows are scored each; other columns never are inputs.
+counts, of several texts the first in order; repeated rows are scored each; a
+text of any length is pooled whole; other columns never are inputs; the columns
+added are ``score`` and ``predicted``, with underscores in front where the input
+has such names.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from pyspark.sql import types as T
 from lexigrain.llm import blocks as B
 from lexigrain.storage import Scratch
 
-UNITS, DIM, HIDDEN = 4096, 64, 32
-EXTRA = 3
-#: Documents in a block: their unit counts are a dense matrix of ROWS by UNITS.
-ROWS = 512
+UNITS, ROWS, DIM, HIDDEN = 4096, 1 << 15, 64, 32
+REACH, EXTRA = 2, 3
+#: Bytes of words whose trigrams are looked up at once.
+STRETCH = 1 << 16
 
 
 def index_vectors() -> np.ndarray:
@@ -47,56 +52,64 @@ def index_vectors() -> np.ndarray:
     return out / np.sqrt(8, dtype=np.float32)
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of a word: its position and its unit."""
-    inside = ~B.SPACE[data]
-    plain = np.where(inside, data, 32).astype(np.uint32)
-    before, after = np.full(len(data), 32, np.uint32), np.full(len(data), 32, np.uint32)
-    before[1:], after[:-1] = plain[:-1], plain[1:]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = 32
-    after[offsets[1:][offsets[1:] > 0] - 1] = 32
-    at = np.flatnonzero(inside)
-    gram = (before[at] << np.uint32(16)) | (plain[at] << np.uint32(8)) | after[at]
-    return at, ((gram * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+def _sums(values, groups: np.ndarray, n: int, step: int) -> np.ndarray:
+    """Sums of rows values(lo, hi) by their (rising) group, a stretch of rows at a time."""
+    out = np.zeros((n, DIM), np.float32)
+    for lo in range(0, len(groups), step):
+        part = groups[lo : lo + step]
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        out[part[cut]] += np.add.reduceat(values(lo, lo + len(part)), cut, axis=0)
+    return out
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index vectors and rows of a block's distinct words; which of them each word is; the document of each word."""
+    start, end, first = B.words(data, offsets)
+    hashes, one, which = np.unique(B.Ranges(data).hash(start, end), return_index=True, return_inverse=True)
+    start, size = start[one], (end - start)[one]
+    word = np.repeat(np.arange(len(one)), size)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + start[word]
+    before = np.where(at > start[word], data[np.maximum(at - 1, 0)], 32).astype(np.uint32)
+    after = np.where(at + 1 < (start + size)[word], data[np.minimum(at + 1, len(data) - 1)] if len(data) else 0, 32).astype(np.uint32)
+    gram = (before << np.uint32(16)) | (data[at].astype(np.uint32) << np.uint32(8)) | after
+    unit = ((gram * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+    vectors = _sums(lambda lo, hi: index[unit[lo:hi]], word, len(one), STRETCH)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+    rows = (hashes >> np.uint64(64 - (ROWS - 1).bit_length())).astype(np.int64)
+    return vectors, rows, which, np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
-    """Add to each unit's row the index vectors of the words beside its word."""
-    at, unit = units(data, offsets)
-    start, _, first = B.words(data, offsets)
-    if not len(start):
+    """Add to each word's row the index vectors of the words near it."""
+    vectors, rows, which, doc = distinct_words(data, offsets, index)
+    if not len(which):
         return
-    word = np.searchsorted(start, at, "right") - 1
-    vectors = np.add.reduceat(index[unit], np.searchsorted(at, start), axis=0)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-    beside = np.zeros_like(vectors)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    same = (doc[1:] == doc[:-1])[:, None]
-    beside[1:] += vectors[:-1] * same
-    beside[:-1] += vectors[1:] * same
-    order = np.argsort(unit, kind="stable")
-    ranked = unit[order]
-    edges = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    into[ranked[edges]] += np.add.reduceat(beside[word[order]], edges, axis=0)
-
-
-def features(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    near = np.zeros((len(which), DIM), np.float32)
+    for k in range(1, min(REACH, len(which) - 1) + 1):
+        same = (doc[k:] == doc[:-k])[:, None]
+        near[k:] += vectors[which[:-k]] * same
+        near[:-k] += vectors[which[k:]] * same
+    order = np.argsort(rows[which], kind="stable")
+    into += _sums(lambda lo, hi: near[order[lo:hi]], rows[which][order], ROWS, STRETCH)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, around: np.ndarray) -> np.ndarray:
     """DIM + EXTRA numbers for each document of a block."""
+    vectors, rows, which, doc = distinct_words(data, offsets, index)
+    vectors += np.float32(0.5) * around[rows]
     n = len(offsets) - 1
-    at, unit = units(data, offsets)
-    doc = np.searchsorted(offsets, at, "right") - 1
-    counts = np.bincount(doc * UNITS + unit, minlength=n * UNITS).reshape(n, UNITS).astype(np.float32)
-    total = counts.sum(axis=1, keepdims=True)
-    pooled = counts @ vectors / np.maximum(total, 1)
-    start, end, first = B.words(data, offsets)
-    hashes = B.Ranges(B.LOWER[data]).hash(start, end)
-    word_doc = np.repeat(np.arange(n), np.diff(first))
-    n_words = np.diff(first)
-    again = np.bincount(word_doc[1:][(hashes[1:] == hashes[:-1]) & (word_doc[1:] == word_doc[:-1])], minlength=n) if len(start) else np.zeros(n)
+    n_words = np.bincount(doc, minlength=n)
+    pooled = _sums(lambda lo, hi: vectors[which[lo:hi]], doc, n, STRETCH) / np.maximum(n_words, 1)[:, None]
+    again = np.bincount(doc[1:][(which[1:] == which[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
     extra = np.stack([np.log1p(n_words), np.linalg.norm(pooled, axis=1), again / np.maximum(n_words, 1)], axis=1)
     return np.concatenate([pooled, extra], axis=1).astype(np.float32)
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Inputs in standard deviations, four at most, so that no odd text outweighs all else."""
+    return np.clip((x - mean) / scale, -4, 4)
+
+
 @dataclass
 class Network:
     """Standardised input, one tanh layer, one logit, a temperature."""
@@ -110,7 +123,7 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh(standard(x, self.mean, self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x).astype(np.float64) / self.temperature, -40, 40)))
@@ -125,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, steps: int = 600, r
         return Network(np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(prior / (1 - prior))))
     train = ~calibrate if len(set(y[~calibrate].tolist())) == 2 else np.ones(len(y), bool)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z, t = (x[train] - mean) / scale, y[train].astype(float)
+    z, t = standard(x[train], mean, scale), y[train].astype(float)
     rng = np.random.Generator(np.random.PCG64(11))
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
@@ -152,32 +165,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 6000) -> tuple[np.ndarray, Network]:
-    """Unit vectors and network from labelled documents outside of the held-out fold."""
+    """Contexts of words and network from labelled documents outside of the held-out fold."""
     usable = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("calibrate"), "text")
-    texts = scratch.table(texts.repartition(8, F.xxhash64("doc_id")), "sample")  # `sample` rows at most
+    # one row a doc_id, so `sample` rows at most
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text")))["text"].alias("text"), F.first("quality").alias("quality"))
+    texts = texts.select(F.col("quality").cast("int"), (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("calibrate"), "text")
+    texts = scratch.table(texts, "sample")
     index = index_vectors()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((UNITS, DIM), np.float32)
+        total = np.zeros((ROWS, DIM), np.float32)
         for batch in batches:
             data, offsets = B.utf8(batch.column(0))
             for lo, hi in B.blocks(offsets, 1 << 18):
                 contexts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], index, total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    around = np.zeros((UNITS, DIM), np.float32)
-    for row in texts.select("text").mapInArrow(gather, "total binary").toLocalIterator():  # 1 MB a task of the sample
-        around += np.frombuffer(row.total, np.float32).reshape(UNITS, DIM)
+    around = np.zeros((ROWS, DIM), np.float32)
+    for row in texts.select("text").mapInArrow(gather, "total binary").toLocalIterator():  # 8 MB a task of the sample, one at a time
+        around += np.frombuffer(row.total, np.float32).reshape(ROWS, DIM)
     around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-6)
-    vectors = index + 0.5 * around
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.utf8(batch.column(2))
-            for lo, hi in B.blocks(offsets, rows=ROWS):
-                x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], vectors)
+            for lo, hi in B.blocks(offsets, 1 << 18):
+                x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], index, around)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "calibrate", "x"])
 
     rows = texts.mapInArrow(pool, "quality int, calibrate boolean, x binary").collect()
@@ -185,23 +199,30 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 60
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), DIM + EXTRA)
     net = fit(x, np.array([r.quality for r in rows], int), np.array([r.calibrate for r in rows], bool))
     scratch.drop("sample")
-    return vectors, net
+    return around, net
 
 
 def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 6000) -> DataFrame:
-    """Every row of ``docs`` with score and predicted; one pass over the texts after fitting."""
-    vectors, net = train(docs.select("doc_id", "text"), labels, scratch, sample)
-    model = docs.sparkSession.sparkContext.broadcast((vectors, net))  # 1 MB, whatever the input
+    """Every row of ``docs`` with its score and whether it reaches one half, the last two columns; one pass over the texts after fitting."""
+    around, net = train(docs.select("doc_id", "text"), labels, scratch, sample)
+    model = docs.sparkSession.sparkContext.broadcast((index_vectors(), around, net))  # 8 MB, whatever the input
     place = docs.columns.index("text")
+    added = [B.spare(docs.columns, name) for name in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, network = model.value
+        index, near, network = model.value
         for batch in batches:
             data, offsets = B.utf8(batch.column(place))
-            for lo, hi in B.blocks(offsets, rows=ROWS):
-                s = network.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], v))
+            for lo, hi in B.blocks(offsets, 1 << 18):
+                s = network.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], index, near))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*part.schema.names, "_score", "_predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*part.schema.names, *added])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.IntegerType())])
     return docs.mapInArrow(run, schema)
+
+
+def good(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 6000) -> DataFrame:
+    """The rows of ``docs`` that score one half or more."""
+    scored = score(docs, labels, scratch, sample)
+    return scored.filter(F.col(scored.columns[-1]) == 1).drop(*scored.columns[-2:])

@@ -73,7 +73,7 @@ def op9_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = classifier.score(docs, _read(spark, sf_dir, "labels"), Scratch(spark, "classify"))
-    return out.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return out.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -507,14 +507,14 @@ def test_op9_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     scored = classifier.score(docs.select("doc_id", "text"), labels, Scratch(spark, "t"))
-    rows = scored.join(labels, "doc_id").filter(classifier.held_out(F.col("doc_id"))).select("quality", "_predicted").collect()
-    assert len(rows) > 50 and sum(r.quality == r._predicted for r in rows) / len(rows) > 0.95
+    rows = scored.join(labels, "doc_id").filter(classifier.held_out(F.col("doc_id"))).select("quality", "predicted").collect()
+    assert len(rows) > 50 and sum(r.quality == r.predicted for r in rows) / len(rows) > 0.95
 
 
 def test_op9_without_labels_and_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = classifier.score(frame(spark, ODD, True), labels, Scratch(spark, "t")).collect()
-    assert {r._score for r in got} == {0.5} and len(got) == len(ODD)
+    assert {r.score for r in got} == {0.5} and len(got) == len(ODD)
 
 
 # -- archives -----------------------------------------------------------------------------------
