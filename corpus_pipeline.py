@@ -17,7 +17,7 @@ from lexigrain.storage import Scratch
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it scores below one half go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classifier.score(docs, labels, Scratch(spark, "quality")).filter("_predicted = 1").drop("_score", "_predicted")
+    return classifier.good(docs, labels, Scratch(spark, "quality"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
