@@ -2,7 +2,7 @@
 
 Each of ``UNITS`` classes of byte trigrams (by a hash; a blank stands for a
 word's edge) has a sparse ternary index vector. A word's index vector is the sum
-of its trigrams', brought to unit length, so that words alike in spelling are
+of its trigrams', divided by the root of their number, so that words alike in spelling are
 alike, also unseen ones. Its word vector adds half of its context: the index
 vectors of the words within ``REACH`` places, summed over the labelled sample in
 one of ``ROWS`` rows that a hash gives the word, at unit length (nothing for words
@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrain.llm import blocks as B
+from lexigrain.llm.names import spare
 from lexigrain.storage import Scratch
 
 UNITS, ROWS, DIM, HIDDEN = 4096, 1 << 15, 64, 32
 REACH, EXTRA = 2, 3
-#: Bytes of words whose trigrams are looked up at once.
-STRETCH = 1 << 16
+#: Rows of vectors that are looked up at once, and documents in a block, whose units are a dense matrix.
+STRETCH, DOCS = 1 << 16, 256
 
 
 def index_vectors() -> np.ndarray:
@@ -62,45 +63,55 @@ def _sums(values, groups: np.ndarray, n: int, step: int) -> np.ndarray:
     return out
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Index vectors and rows of a block's distinct words; which of them each word is; the document of each word."""
+def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hash and document of each word of a block; of each byte of a word its unit, its word and what it weighs."""
     start, end, first = B.words(data, offsets)
-    hashes, one, which = np.unique(B.Ranges(data).hash(start, end), return_index=True, return_inverse=True)
-    start, size = start[one], (end - start)[one]
-    word = np.repeat(np.arange(len(one)), size)
+    size = end - start
+    word = np.repeat(np.arange(len(start)), size)
     at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + start[word]
-    before = np.where(at > start[word], data[np.maximum(at - 1, 0)], 32).astype(np.uint32)
-    after = np.where(at + 1 < (start + size)[word], data[np.minimum(at + 1, len(data) - 1)] if len(data) else 0, 32).astype(np.uint32)
-    gram = (before << np.uint32(16)) | (data[at].astype(np.uint32) << np.uint32(8)) | after
+    padded = np.full(len(data) + 2, 32, np.uint32)
+    padded[1:-1] = data
+    before, after = padded[at], padded[at + 2]
+    before[at == start[word]] = 32
+    after[at + 1 == end[word]] = 32
+    gram = (before << np.uint32(16)) | (padded[at + 1] << np.uint32(8)) | after
     unit = ((gram * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
-    vectors = _sums(lambda lo, hi: index[unit[lo:hi]], word, len(one), STRETCH)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-    rows = (hashes >> np.uint64(64 - (ROWS - 1).bit_length())).astype(np.int64)
-    return vectors, rows, which, np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    # the sum of so many random unit vectors is about this long
+    weight = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
+    return B.Ranges(data).hash(start, end), np.repeat(np.arange(len(offsets) - 1), np.diff(first)), unit, word, weight
+
+
+def rows_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (ROWS - 1).bit_length())).astype(np.int64)
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, into: np.ndarray) -> None:
     """Add to each word's row the index vectors of the words near it."""
-    vectors, rows, which, doc = distinct_words(data, offsets, index)
-    if not len(which):
+    hashes, doc, unit, word, weight = word_units(data, offsets)
+    if not len(doc):
         return
-    near = np.zeros((len(which), DIM), np.float32)
-    for k in range(1, min(REACH, len(which) - 1) + 1):
+    vectors = _sums(lambda lo, hi: index[unit[lo:hi]] * weight[lo:hi, None].astype(np.float32), word, len(doc), STRETCH)
+    near = np.zeros((len(doc), DIM), np.float32)
+    for k in range(1, min(REACH, len(doc) - 1) + 1):
         same = (doc[k:] == doc[:-k])[:, None]
-        near[k:] += vectors[which[:-k]] * same
-        near[:-k] += vectors[which[k:]] * same
-    order = np.argsort(rows[which], kind="stable")
-    into += _sums(lambda lo, hi: near[order[lo:hi]], rows[which][order], ROWS, STRETCH)
+        near[k:] += vectors[:-k] * same
+        near[:-k] += vectors[k:] * same
+    rows = rows_of(hashes)
+    order = np.argsort(rows, kind="stable")
+    into += _sums(lambda lo, hi: near[order[lo:hi]], rows[order], ROWS, STRETCH)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, around: np.ndarray) -> np.ndarray:
     """DIM + EXTRA numbers for each document of a block."""
-    vectors, rows, which, doc = distinct_words(data, offsets, index)
-    vectors += np.float32(0.5) * around[rows]
+    hashes, doc, unit, word, weight = word_units(data, offsets)
     n = len(offsets) - 1
     n_words = np.bincount(doc, minlength=n)
-    pooled = _sums(lambda lo, hi: vectors[which[lo:hi]], doc, n, STRETCH) / np.maximum(n_words, 1)[:, None]
-    again = np.bincount(doc[1:][(which[1:] == which[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
+    # index vectors are added for each document's units, contexts for its words
+    units = np.bincount(doc[word] * UNITS + unit, weight, n * UNITS).reshape(n, UNITS).astype(np.float32)
+    rows = rows_of(hashes)
+    total = units @ index + np.float32(0.5) * _sums(lambda lo, hi: around[rows[lo:hi]], doc, n, STRETCH)
+    pooled = total / np.maximum(n_words, 1)[:, None]
+    again = np.bincount(doc[1:][(hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
     extra = np.stack([np.log1p(n_words), np.linalg.norm(pooled, axis=1), again / np.maximum(n_words, 1)], axis=1)
     return np.concatenate([pooled, extra], axis=1).astype(np.float32)
 
@@ -190,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 60
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.utf8(batch.column(2))
-            for lo, hi in B.blocks(offsets, 1 << 18):
+            for lo, hi in B.blocks(offsets, 1 << 18, DOCS):
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], index, around)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "calibrate", "x"])
 
@@ -207,13 +218,13 @@ def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 60
     around, net = train(docs.select("doc_id", "text"), labels, scratch, sample)
     model = docs.sparkSession.sparkContext.broadcast((index_vectors(), around, net))  # 8 MB, whatever the input
     place = docs.columns.index("text")
-    added = [B.spare(docs.columns, name) for name in ("score", "predicted")]
+    added = [spare(docs.columns, name) for name in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, near, network = model.value
         for batch in batches:
             data, offsets = B.utf8(batch.column(place))
-            for lo, hi in B.blocks(offsets, 1 << 18):
+            for lo, hi in B.blocks(offsets, 1 << 18, DOCS):
                 s = network.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], index, near))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*part.schema.names, *added])

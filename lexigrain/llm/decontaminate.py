@@ -10,8 +10,10 @@ by one.
 
 Words are runs of digits, a-z after lower-casing A-Z, and characters from
 U+0080 on. Cases: a null or wordless text has no words and no hits; a null or
-wordless item has no windows; repeated items are items of their own; repeated
-documents get the same result each; other columns are not looked at.
+wordless item has no windows; items with one item_id are one item with all their
+windows; hits of an item without item_id count as hits and not as an item;
+repeated documents get the same result each; texts are read whole, however long;
+empty tables give empty or clean results; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrain.llm.names import spare
 from lexigrain.storage import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,11 +67,14 @@ def matches(docs: DataFrame, wins: DataFrame, key: list[str], width: int, broadc
         here = F.slice("w", F.col("pos") - F.col("at") + 1, F.col("len"))
         found = found.filter((F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.col("len") <= F.size("w")))
         return found.filter(here == F.col("words")).select(*key, (F.col("pos") - F.col("at")).alias("start"), "len", "items")
-    # too many windows to broadcast: every word takes along what can surround it in a window
-    spots = docs.select(*key, w.alias("w")).select("*", F.posexplode("w").alias("pos", "word"))
+    # too many windows to broadcast: words meet the prefixes first, which are narrow rows, and only what meets takes along the words that can surround it
+    prefixes = wins.select("prefix").distinct()
+    spots = docs.select(*key, F.posexplode(w).alias("pos", "word")).join(prefixes, F.col("word") == F.col("prefix"), "left_semi")
+    places = spots.groupBy(*key).agg(F.collect_set("pos").alias("places")).alias("p")
+    own = docs.alias("d").join(places, [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in key]).select(*[f"d.{k}" for k in key], w.alias("w"), "places")
     around = F.slice("w", F.greatest(F.col("pos") - width + 2, F.lit(1)), F.lit(2 * width - 1))
-    spots = spots.select(*key, "pos", "word", F.least("pos", F.lit(width - 1)).alias("lead"), around.alias("around"))
-    found = spots.join(wins, F.col("word") == F.col("prefix")).filter(F.col("lead") >= F.col("at"))
+    met = own.select(*key, "w", F.explode("places").alias("pos")).select(*key, "pos", F.get("w", F.col("pos")).alias("word"), F.least("pos", F.lit(width - 1)).alias("lead"), around.alias("around"))
+    found = met.join(wins, F.col("word") == F.col("prefix")).filter(F.col("lead") >= F.col("at"))
     return found.filter(F.slice("around", F.col("lead") - F.col("at") + 1, F.col("len")) == F.col("words")).select(*key, (F.col("pos") - F.col("at")).alias("start"), "len", "items")
 
 
@@ -100,5 +106,6 @@ def flag(docs: DataFrame, items: DataFrame, scratch: Scratch, width: int = 10) -
 def drop_contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, width: int = 10) -> DataFrame:
     """``docs`` without the documents that contain a window of an item."""
     found = contamination(docs, items, scratch, width).select("doc_id", "text_hash").alias("f")
-    own = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")
-    return own.join(found, [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("d._text_hash") == F.col("f.text_hash")], "left_anti").drop("_text_hash")
+    name = spare(docs.columns, "text_hash")
+    own = docs.withColumn(name, F.xxhash64("text")).alias("d")
+    return own.join(found, [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), F.col(f"d.`{name}`") == F.col("f.text_hash")], "left_anti").drop(name)

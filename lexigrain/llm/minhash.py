@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm import blocks as B
 from lexigrain.llm.components import connected
+from lexigrain.llm.names import spare
 from lexigrain.storage import Scratch
 
 HASHES = 180
@@ -278,7 +279,7 @@ def drop_copies(docs: DataFrame, scratch: Scratch, width: int = 3, num: int = 85
     """``docs`` with one document of each component: the one that names it (of repeated rows, one)."""
     found = components(docs.select("doc_id", "text"), scratch, width, num, den)
     gone = found.filter("not kept").select("doc_id", "text_hash").distinct().alias("g")
-    name = B.spare(docs.columns, "text_hash")
+    name = spare(docs.columns, "text_hash")
     own = docs.withColumn(name, F.xxhash64("text")).alias("d")
     left = own.join(gone, [F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), F.col(f"d.{name}") == F.col("g.text_hash")], "left_anti")
     return left.dropDuplicates(["doc_id", name]).select(*docs.columns)

@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrain.llm.names import spare
 from lexigrain.storage import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -143,19 +144,20 @@ def apply(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     Rows are told apart by (doc_id, a hash of the text); columns are those of
     ``docs``. The one document at a source's edge is cut after the words taken.
     """
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    taken = plan(hashed, scratch, n_words(F.col("text")), letter_weight(F.col("text")), key=("doc_id", "_text_hash"), **options)
+    name, copy, part, take = (spare(docs.columns, k) for k in ("text_hash", "copy", "part", "take"))
+    hashed = docs.withColumn(name, F.xxhash64("text"))
+    taken = plan(hashed, scratch, n_words(F.col("text")), letter_weight(F.col("text")), key=("doc_id", name), **options)
     # repeated rows are interchangeable: the k-th copy of a row takes the k-th of its plan rows
-    copies = taken.groupBy("doc_id", "_text_hash", "source").agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("_parts"))
-    same = Window.partitionBy("doc_id", "_text_hash", "source").orderBy("doc_id")
-    rows = hashed.withColumn("_copy", F.row_number().over(same)).alias("r")
-    names = ("doc_id", "_text_hash", "source")
-    joined = rows.join(copies.alias("c"), [F.col(f"r.{n}").eqNullSafe(F.col(f"c.{n}")) for n in names])
-    parts = joined.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.element_at("_parts", F.col("_copy")).alias("_p"))
-    size, words = F.col("_p.size"), F.col("_p.taken")
+    names = ("doc_id", name, "source")
+    copies = taken.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("parts"))
+    same = Window.partitionBy(*names).orderBy("doc_id")
+    rows = hashed.withColumn(copy, F.row_number().over(same)).alias("r")
+    joined = rows.join(copies.alias("c"), [F.col(f"r.`{n}`").eqNullSafe(F.col(f"c.`{n}`")) for n in names])
+    parts = joined.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.element_at("c.parts", F.col(f"r.`{copy}`")).alias(part))
+    size, words = F.col(f"{part}.size"), F.col(f"{part}.taken")
     full = F.when(size > 0, F.floor(words / size)).otherwise(0).cast("int")
     runs = F.concat(F.array_repeat(size, full), F.when(words - full * size > 0, F.array(words - full * size)).otherwise(F.array().cast("array<long>")))
-    cut = parts.withColumn("_take", F.explode(runs)).withColumn("text", F.when(F.col("_take") < size, first_words(F.col("text"), F.col("_take"))).otherwise(F.col("text")))
+    cut = parts.withColumn(take, F.explode(runs)).withColumn("text", F.when(F.col(take) < size, first_words(F.col("text"), F.col(take))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_take") < size, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.when(F.col(take) < size, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm import blocks as B
+from lexigrain.llm.names import spare
 from lexigrain.storage import Scratch
 
 #: A removed term (the last) is written like any other term.
@@ -170,7 +170,7 @@ def sanitise(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     Overlapping spans give one mark.
     """
     found = find(docs.select("doc_id", "text"), scratch, **options).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"]).alias("f")
-    name = B.spare(docs.columns, "text_hash")
+    name = spare(docs.columns, "text_hash")
     own = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit("")))).alias("d")
     joined = own.join(found, [F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), F.col(f"d.{name}") == F.col("f.text_hash")], "left")
     names = ", ".join(repr(f"[{k.upper()}]") for k in KINDS[:4])

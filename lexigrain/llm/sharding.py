@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrain.llm.names import spare
 from lexigrain.storage import Scratch
 
 #: Buckets of each rank; (shards + 1) * MOST_BUCKETS rows is what a broadcast of them can hold at most.
@@ -115,7 +116,7 @@ def _ranked(rows: DataFrame, group: list[str], buckets: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(starts), keys).withColumn("rank", F.col("rank") + F.col("first")).drop("first", "bucket")
 
 
-def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = 4, keep: tuple[str, ...] = (), bucket_rows: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = 4, keep: tuple[str, ...] = (), bucket_rows: int = 2_000) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row, and columns of ``docs`` named in ``keep``.
 
     Only a narrow table (hashes and sizes) goes through the rounds.
@@ -164,9 +165,10 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, rounds: int = 4,
 
 
 def assign(docs: DataFrame, scratch: Scratch, shards: int = 24) -> DataFrame:
-    """``docs`` with shard and slot; rows that are equal in all columns are interchangeable."""
-    own = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    placed = shard(own, scratch, shards, keep=("_row",)).select("doc_id", "_row", "shard", "slot").alias("p")
-    once = own.dropDuplicates(["doc_id", "_row"]).alias("d")
-    joined = once.join(placed, [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col("d._row") == F.col("p._row")])
+    """``docs`` with shard and slot (instead of columns of these names); rows that are equal in all columns are interchangeable."""
+    row = spare([*docs.columns, "shard", "slot"], "row_hash")
+    own = docs.withColumn(row, F.xxhash64(*docs.columns))
+    placed = shard(own, scratch, shards, keep=(row,)).select("doc_id", row, "shard", "slot").alias("p")
+    once = own.dropDuplicates(["doc_id", row]).alias("d")
+    joined = once.join(placed, [F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), F.col(f"d.`{row}`") == F.col(f"p.`{row}`")])
     return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns if c not in ("shard", "slot")], "p.shard", "p.slot")
