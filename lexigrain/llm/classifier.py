@@ -38,7 +38,7 @@ from lexigrain.llm import blocks as B
 from lexigrain.llm.names import spare
 from lexigrain.storage import Scratch
 
-UNITS, ROWS, DIM, HIDDEN = 4096, 1 << 15, 64, 32
+UNITS, ROWS, DIM, HIDDEN = 4096, 1 << 13, 64, 32
 REACH, EXTRA = 2, 3
 #: Rows of vectors that are looked up at once, and documents in a block, whose units are a dense matrix.
 STRETCH, DOCS = 1 << 16, 256
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 60
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     around = np.zeros((ROWS, DIM), np.float32)
-    for row in texts.select("text").mapInArrow(gather, "total binary").toLocalIterator():  # 8 MB a task of the sample, one at a time
+    for row in texts.select("text").coalesce(8).mapInArrow(gather, "total binary").collect():  # 8 times 2 MB
         around += np.frombuffer(row.total, np.float32).reshape(ROWS, DIM)
     around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-6)
 
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 60
 def score(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = 6000) -> DataFrame:
     """Every row of ``docs`` with its score and whether it reaches one half, the last two columns; one pass over the texts after fitting."""
     around, net = train(docs.select("doc_id", "text"), labels, scratch, sample)
-    model = docs.sparkSession.sparkContext.broadcast((index_vectors(), around, net))  # 8 MB, whatever the input
+    model = docs.sparkSession.sparkContext.broadcast((index_vectors(), around, net))  # 3 MB, whatever the input
     place = docs.columns.index("text")
     added = [spare(docs.columns, name) for name in ("score", "predicted")]
 
