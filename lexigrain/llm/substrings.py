@@ -24,6 +24,7 @@ looked at.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,7 +137,7 @@ def sort_shards(pieces: DataFrame, width: int, budget: int) -> DataFrame:
         folder = induced.spill_folder()
         try:
             # overlapping pieces of a text become one segment, so that each byte stands in the shard's text once
-            segments: list[list] = []  # doc_id, text_hash, at, place in the shard's text
+            doc, nothing, hashed, first, place = (array("q") for _ in range(5))  # of each segment: its text, its start there and in the shard's text
             path, size, key, upto = f"{folder}/text", 0, None, 0
             with open(path, "wb") as out:
                 for batch in batches:
@@ -144,34 +145,36 @@ def sort_shards(pieces: DataFrame, width: int, budget: int) -> DataFrame:
                         if (doc_id, text_hash) != key or at > upto:
                             out.write(b"\x01\x00")
                             size += 1
-                            segments.append([doc_id, text_hash, at, size])
+                            for column, value in zip((doc, nothing, hashed, first, place), (doc_id or 0, doc_id is None, text_hash, at, size), strict=True):
+                                column.append(value)
                             key, upto = (doc_id, text_hash), at
                         fresh = raw[upto - at :]
                         out.write((np.frombuffer(fresh, np.uint8).astype("<u2") + 2).tobytes())
                         size, upto = size + len(fresh), max(upto, at + len(raw))
                 out.write(b"\x00\x00")
-            if not segments:
+            if not place:
                 return
-            text = np.fromfile(path, "<u2") if size < budget else np.memmap(path, "<u2", "r")
-            hits = induced.repeated(text, 258, width, budget, folder)
-            place = np.array([s[3] for s in segments])
-            own = np.searchsorted(place, hits, "right") - 1
+            text = np.fromfile(path, "<u2") if size * 4 <= budget else np.memmap(path, "<u2", "r")
+            flags = induced.repeated(text, 258, width, budget, folder)
+            doc, nothing, hashed, first, place = (np.frombuffer(x, np.int64) for x in (doc, nothing, hashed, first, place))
             limits = np.append(place[1:] - 1, size + 1)
-            inside = (own >= 0) & (hits + width <= limits[own])
-            own, hits = own[inside], hits[inside]
-            if not len(hits):
-                return
-            new = np.r_[True, (hits[1:] != hits[:-1] + 1) | (own[1:] != own[:-1])]
-            first = np.flatnonzero(new)
-            last = np.r_[first[1:], len(hits)] - 1
-            zero = np.array([s[2] for s in segments])[own[first]] - place[own[first]]
-            pick = own[first].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([segments[k][0] for k in pick], pa.int64()), pa.array([segments[k][1] for k in pick], pa.int64()), pa.array(hits[first] + zero), pa.array(hits[last] + zero + width)],
-                ["doc_id", "text_hash", "at", "end"],
-            )
+            for lo, hi in induced.blocks(len(flags)):  # a run that goes on in the next block becomes two spans that overlap
+                hits = np.flatnonzero(flags[lo:hi]) + lo
+                own = np.searchsorted(place, hits, "right") - 1
+                inside = (own >= 0) & (hits + width <= limits[own])
+                own, hits = own[inside], hits[inside]
+                if not len(hits):
+                    continue
+                new = np.flatnonzero(np.r_[True, (hits[1:] != hits[:-1] + 1) | (own[1:] != own[:-1])])
+                last = np.r_[new[1:], len(hits)] - 1
+                pick = own[new]
+                zero = first[pick] - place[pick]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[pick], mask=nothing[pick] == 1), pa.array(hashed[pick]), pa.array(hits[new] + zero), pa.array(hits[last] + zero + width)],
+                    ["doc_id", "text_hash", "at", "end"],
+                )
         finally:
-            induced.shutil.rmtree(folder, ignore_errors=True)
+            induced.remove(folder)
 
     return pieces.select("doc_id", "text_hash", "at", "bytes").mapInArrow(run, "doc_id long, text_hash long, at long, end long")
 

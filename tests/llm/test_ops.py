@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -113,7 +116,7 @@ def test_very_long_texts(spark):
 # -- induced sorting ----------------------------------------------------------
 
 
-@pytest.mark.parametrize("budget", [8, 100_000])
+@pytest.mark.parametrize("budget", [8, 64, 100_000])
 def test_suffixes_against_brute_force(tmp_path, budget):
     rng = np.random.default_rng(budget)
     for trial in range(60):
@@ -132,6 +135,43 @@ def test_suffixes_against_brute_force(tmp_path, budget):
             assert a[:30] >= b[:30] and lcp[i] == min(30, common)
 
 
+EXTERNAL = """
+import resource, sys
+import numpy as np
+from lexigrain.llm import induced
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+budget, n, folder = 16_384, 50 * 16_384, sys.argv[1]
+rng = np.random.default_rng(5)
+text = rng.integers(2, 258, n + 1).astype("<u2")
+text[n // 2 : n // 2 + 5000] = text[1000:6000]
+text[100_000:160_000] = 70  # a long run
+text[200_000:260_000] = np.tile(text[200_000:200_030], 2000)  # and a period
+text[-1] = 0
+text.tofile(f"{folder}/t")
+text = np.memmap(f"{folder}/t", "<u2", "r")
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+flags = induced.repeated(text, 258, 400, budget, folder)
+mapped = sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith(("Anonymous:",)))
+seen, want = {}, np.zeros(len(text), bool)
+raw = text.tobytes()
+for i in range(n - 399):
+    key = hash(raw[2 * i : 2 * i + 800])
+    if key in seen:
+        want[i] = want[seen[key]] = True
+    seen[key] = i
+print((flags != want).sum(), want.sum(), mapped)
+"""
+
+
+def test_external_sort_of_a_text_far_beyond_its_budget(tmp_path):
+    env = {**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}
+    out = subprocess.run([sys.executable, "-c", EXTERNAL, str(tmp_path)], env=env, capture_output=True, text=True, timeout=900)
+    assert not out.returncode, out.stderr
+    wrong, hits, held_kb = map(int, out.stdout.split())
+    assert wrong == 0 and hits > 100_000
+    assert held_kb < 60_000  # memory of its own after 820,000 symbols, the interpreter and numpy included
+
+
 def removed_by_brute_force(texts, width):
     raws = [(t or "").encode() for t in texts]
     seen: dict[bytes, int] = {}
