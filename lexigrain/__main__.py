@@ -18,11 +18,7 @@ from lexigrain.storage import Scratch
 
 def properties(docs: DataFrame) -> DataFrame:
     """All row-local properties of (doc_id, text), wide."""
-    parts = [measures.basic(docs, STOP), measures.readability(docs), measures.diversity(docs), measures.mtld(docs, STOP), measures.givenness(docs), measures.closed_connectives(docs)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "doc_id")
-    return out
+    return measures.properties(docs, STOP)
 
 
 #: Counts measure how much was written, not how; profiles leave them out.

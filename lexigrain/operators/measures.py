@@ -1,14 +1,12 @@
-"""Per-document measures over annotated rows: expressions only, no exchange."""
+"""Per-document measures: counting over words is one Arrow kernel, the rest are expressions over the text; no exchange."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexigrain.functions import lexicon as X
-from lexigrain.operators.annotate import flat
+from lexigrain.operators import kernel
 
 
 def ratio(a: str, b: str) -> str:
@@ -26,186 +24,74 @@ def picked(array: str, name: str, field: str = "l") -> str:
     return f"transform(filter({array}, x -> {X.member(name, 'x.w', 'x.c')}), x -> x.{field})"
 
 
-def basic(docs: DataFrame, stop: list[str]) -> DataFrame:
-    """Counts over content tokens, sentences and raw text."""
-    a = flat(docs).withColumn("_t", F.expr(f"filter(transform(toks, x -> x.w), w -> w NOT IN ({X.quoted(stop)}))"))
-    a = a.withColumn("_n", F.expr("filter(transform(sents, s -> size(s)), n -> n > 0)"))
-    a = a.withColumn("_m", F.expr(ratio("aggregate(_n, 0L, (a, x) -> a + x)", "size(_n)")))
-    a = a.withColumn("_sd", F.expr(f"sqrt({ratio('aggregate(_n, 0D, (a, x) -> a + (x - _m) * (x - _m))', 'size(_n)')})"))
-    return a.selectExpr(
-        "doc_id",
-        "bigint(size(_t)) AS n_tokens",
-        "bigint(size(array_distinct(_t))) AS n_types",
-        "bigint(size(sents)) AS n_sentences",
-        "bigint(size(filter(split(coalesce(text, ''), r'\\n\\s*\\n'), x -> x rlike r'\\S'))) AS n_paragraphs",
-        "size(array_distinct(_t)) / double(greatest(size(_t), 1)) AS type_token_ratio",
-        "_m AS sent_len_mean",
-        "_sd AS sent_len_std",
-        "if(size(_n) > 0, _sd / (_m + 1e-8D), 0D) AS sent_len_cv",
-        "bigint(length(coalesce(text, ''))) AS text_length",
-        "bigint(regexp_count(coalesce(text, ''), r'\\S+')) AS word_count",
-    )
+RAW = (
+    "bigint(size(filter(split(coalesce(text, ''), r'\\n\\s*\\n'), x -> x rlike r'\\S'))) AS n_paragraphs",
+    "bigint(length(coalesce(text, ''))) AS text_length",
+    "bigint(regexp_count(coalesce(text, ''), r'\\S+')) AS word_count",
+)
 
 
-def readability(docs: DataFrame) -> DataFrame:
-    """Flesch reading ease and grade level, automated readability; syllables are groups of vowel letters."""
-    a = docs.selectExpr("doc_id", "coalesce(text, '') AS t").selectExpr(
-        "doc_id",
-        "filter(split(regexp_replace(regexp_replace(t, r\"'(?!t|s|d|ve|ll|re)\", ''), r\"[^\\p{L}\\p{N}_\\s']\", ''), r'\\s+'), x -> x != '') AS w",
-        "greatest(int(t != ''), size(filter(regexp_extract_all(t, r'[^.!?]+[.!?]*', 0), x -> size(filter(split(x, r'\\s+'), y -> y != '')) > 2))) AS n_sent",
-        "length(regexp_replace(t, r'\\s', '')) AS n_chars",
-        "size(filter(split(t, r'\\s+'), x -> x != '')) AS n_raw",
+def basic(docs: DataFrame, stop: list[str]) -> DataFrame:
+    """Counts over content tokens, sentences and raw text."""
+    out = kernel.measures(docs.selectExpr("doc_id", "text", *RAW), ["basic"], stop)
+    return out.select("doc_id", "n_tokens", "n_types", "n_sentences", "n_paragraphs", "type_token_ratio", "sent_len_mean", "sent_len_std", "sent_len_cv", "text_length", "word_count")
+
+
+def with_readability(docs: DataFrame) -> DataFrame:
+    """``docs`` with Flesch reading ease and grade level and automated readability; syllables are groups of vowel letters."""
+    kept = docs.columns
+    a = docs.withColumn("_t", F.expr("coalesce(text, '')")).selectExpr(
+        *[f"`{c}`" for c in kept],
+        "filter(split(regexp_replace(regexp_replace(_t, r\"'(?!t|s|d|ve|ll|re)\", ''), r\"[^\\p{L}\\p{N}_\\s']\", ''), r'\\s+'), x -> x != '') AS _w",
+        "greatest(int(_t != ''), size(filter(regexp_extract_all(_t, r'[^.!?]+[.!?]*', 0), x -> size(filter(split(x, r'\\s+'), y -> y != '')) > 2))) AS _sentences",
+        "length(regexp_replace(_t, r'\\s', '')) AS _chars",
+        "regexp_count(_t, r'\\S+') AS _raw",
     )
-    a = a.selectExpr("*", "double(size(w)) AS n", "double(aggregate(w, 0L, (a, x) -> a + greatest(1, regexp_count(lower(x), r'[aeiouyàâäáéèêëíîïóôöúùûü]+')))) AS syl")
-    none = "n = 0 OR n_sent = 0"
+    # a word has at least one syllable: groups of vowels in the joined words, and the words without any
+    vowels = "[aeiouyàâäáéèêëíîïóôöúùûü]"
+    a = a.selectExpr("*", "double(size(_w)) AS _n", f"double(regexp_count(lower(array_join(_w, ' ')), r'{vowels}+') + size(filter(_w, x -> NOT lower(x) rlike r'{vowels}'))) AS _syl")
+    none = "_n = 0 OR _sentences = 0"
     return a.selectExpr(
-        "doc_id",
-        f"if({none}, 0D, 206.835D - 1.015D * (n / n_sent) - 84.6D * (syl / n)) AS flesch_reading_ease",
-        f"if({none}, 0D, 0.39D * (n / n_sent) + 11.8D * (syl / n) - 15.59D) AS flesch_kincaid_grade",
-        f"if({none} OR n_raw = 0, 0D, 4.71D * (n_chars / double(n_raw)) + 0.5D * (n / n_sent) - 21.43D) AS automated_readability",
+        *[f"`{c}`" for c in kept],
+        f"if({none}, 0D, 206.835D - 1.015D * (_n / _sentences) - 84.6D * (_syl / _n)) AS flesch_reading_ease",
+        f"if({none}, 0D, 0.39D * (_n / _sentences) + 11.8D * (_syl / _n) - 15.59D) AS flesch_kincaid_grade",
+        f"if({none} OR _raw = 0, 0D, 4.71D * (_chars / double(_raw)) + 0.5D * (_n / _sentences) - 21.43D) AS automated_readability",
     )
 
 
-def _ttr(array: str) -> str:
-    return ratio(f"size(array_distinct({array}))", f"size({array})")
-
-
-def _grams(array: str, n: int) -> str:
-    """SQL: space-joined n-grams; too short an array has none (sequence() would count down)."""
-    return f"if(size({array}) >= {n}, transform(sequence(1, size({array}) - {n - 1}), i -> array_join(slice({array}, i, {n}), ' ')), array())"
+def readability(docs: DataFrame) -> DataFrame:
+    """The three readability values of each document."""
+    return with_readability(docs.select("doc_id", "text")).drop("text")
 
 
-def _moving_ttr(array: str, width: int) -> str:
-    windows = f"transform(sequence(1, size({array}) - {width - 1}), i -> size(array_distinct(slice({array}, i, {width}))))"
-    mean = f"aggregate({windows}, 0L, (a, x) -> a + x) / double({width}L * (size({array}) - {width - 1}))"
-    return f"if(size({array}) <= {width}, {_ttr(array)}, {mean})"
+def diversity(docs: DataFrame) -> DataFrame:
+    """Type-token ratios of nine classes and of n-grams, lexical density, moving averages over 50 words."""
+    return kernel.measures(docs.select("doc_id", "text"), ["diversity"])
 
 
-def diversity(docs: DataFrame, width: int = 50) -> DataFrame:
-    """Type-token ratios of nine classes and of n-grams, lexical density, moving averages."""
-    a = flat(docs)
-    for name in X.CLASSES:
-        a = a.withColumn(f"_{name}", F.expr(picked("toks", name)))
-    plain = ("content", "function", "noun", "verb", "adj", "adv", "prp", "argument")
-    return a.withColumn("_bi", F.expr(_grams("_all", 2))).withColumn("_tri", F.expr(_grams("_all", 3))).selectExpr(
-        "doc_id",
-        f"{_ttr('_all')} AS lemma_ttr",
-        f"{_moving_ttr('_all', width)} AS lemma_mattr",
-        f"{_moving_ttr('_function', width)} AS function_mattr",
-        f"{ratio('size(_content)', 'size(_all)')} AS lexical_density_tokens",
-        f"{ratio('size(array_distinct(_content))', 'size(array_distinct(_all))')} AS lexical_density_types",
-        *[f"{_ttr(f'_{n}')} AS {n}_ttr" for n in plain],
-        f"{_ttr('_bi')} AS bigram_lemma_ttr",
-        f"{_ttr('_tri')} AS trigram_lemma_ttr",
-    )
-
-
-@F.arrow_udf(T.DoubleType())
-def _mtld(words: pa.Array, floor: pa.Array, least: pa.Array) -> pa.Array:
-    out = []
-    for ws, f, n in zip(words.to_pylist(), floor.to_pylist(), least.to_pylist(), strict=True):
-        if len(ws) < n:
-            out.append(0.0)
-            continue
-        ways = []
-        for way in (ws, ws[::-1]):
-            factors, seen, run = 0.0, set(), 0
-            for w in way:
-                seen.add(w)
-                run += 1
-                if len(seen) / run <= f:
-                    factors, seen, run = factors + 1, set(), 0
-            if run:
-                factors += (1 - len(seen) / run) / (1 - f)
-            ways.append(len(ws) / factors if factors else float(len(ws)))
-        out.append(sum(ways) / 2)
-    return pa.array(out, pa.float64())
-
-
-def mtld(docs: DataFrame, stop: list[str], floor: float = 0.72, least: int = 50) -> DataFrame:
-    """Mean length of runs that keep the type-token ratio above ``floor``, forward and backward.
-
-    A run's state is the set of its types, which a fold in the plan would copy
-    for every word; the Arrow UDF keeps it in place.
-    """
-    a = flat(docs).withColumn("t", F.expr(f"filter(transform(toks, x -> x.w), w -> w NOT IN ({X.quoted(stop)}))"))
-    return a.select("doc_id", _mtld("t", F.lit(floor), F.lit(least)).alias("mtld_score"))
-
-
-def _pairs(segments: str) -> str:
-    """SQL: for each segment with a next one, its types (d) and those that recur in the next (o) or the next two (o2, else null)."""
-    n = f"size({segments})"
-    at = lambda k: f"element_at({segments}, i + {k})"
-    two = f"if(i + 2 <= {n}, size(array_intersect({at(0)}, concat({at(1)}, {at(2)}))), null)"
-    return f"if({n} > 1, transform(sequence(1, {n} - 1), i -> named_struct('d', size({at(0)}), 'o', size(array_intersect({at(0)}, {at(1)})), 'o2', {two})), array())"
-
-
-def _six(pairs: str) -> str:
-    """SQL: struct of the six adjacent-overlap values, from one fold over the pairs."""
-    start = "named_struct('o', 0L, 'd', 0L, 'b', 0L, 'o2', 0L, 'd2', 0L, 'b2', 0L, 'n2', 0L)"
-    step = (
-        "named_struct('o', a.o + x.o, 'd', a.d + x.d, 'b', a.b + if(x.o > 0, 1L, 0L), 'o2', a.o2 + coalesce(x.o2, 0), 'd2', a.d2 + if(x.o2 IS NULL, 0, x.d), "
-        "'b2', a.b2 + if(coalesce(x.o2, 0) > 0, 1L, 0L), 'n2', a.n2 + if(x.o2 IS NULL, 0L, 1L))"
-    )
-    end = (
-        f"named_struct('overlap', {ratio('a.o', 'a.d')}, 'overlap_div_seg', {ratio('a.o', f'size({pairs})')}, 'binary', {ratio('a.b', f'size({pairs})')}, "
-        f"'overlap_2', {ratio('a.o2', 'a.d2')}, 'overlap_2_div_seg', {ratio('a.o2', 'a.n2')}, 'binary_2', {ratio('a.b2', 'a.n2')})"
-    )
-    return f"aggregate({pairs}, {start}, (a, x) -> {step}, a -> {end})"
+def mtld(docs: DataFrame, stop: list[str]) -> DataFrame:
+    """Mean length of runs that keep the type-token ratio above 0.72, forward and backward."""
+    return kernel.measures(docs.select("doc_id", "text"), ["mtld"], stop)
 
 
 def overlap(docs: DataFrame, classes=X.CLASSES, levels=("sent", "para")) -> DataFrame:
     """Adjacent overlap: six values for each level and class, a row each (108 values a document)."""
-    a = flat(docs).select("doc_id", *[f"{level}s" for level in levels])
-    names = [(level, name) for level in levels for name in classes]
-    sets = a.select("doc_id", *[F.expr(f"transform({level}s, s -> array_distinct({picked('s', name)}))").alias(f"_{level}_{name}") for level, name in names])
-    pairs = sets.select("doc_id", *[F.expr(_pairs(f"_{level}_{name}")).alias(f"_{level}_{name}") for level, name in names])
-    rows = ", ".join(f"named_struct('level', '{level}', 'class', '{name}', 'p', _{level}_{name})" for level, name in names)
-    return pairs.selectExpr("doc_id", f"explode(array({rows})) AS r").selectExpr("doc_id", "r.level", "r.class", "r.p AS p").selectExpr("doc_id", "level", "class", f"{_six('p')} AS v").selectExpr("doc_id", "level", "class", "v.*")
-
-
-def _repeated(array: str) -> str:
-    """SQL: how many elements have an equal."""
-    return f"aggregate(array_distinct({array}), 0L, (a, w) -> a + if(size(filter({array}, x -> x = w)) > 1, size(filter({array}, x -> x = w)), 0))"
+    return kernel.overlap(docs.select("doc_id", "text"), classes, levels)
 
 
 def givenness(docs: DataFrame) -> DataFrame:
     """Pronoun density, and repeated content lemmas and pronouns."""
-    a = flat(docs).withColumn("_sorted", F.expr(f"array_sort({picked('toks', 'content')})"))
-    # equal neighbours in the sorted array: linear, where counting each lemma would be quadratic
-    run = "named_struct('p', '', 'k', 0L, 'sum', 0L)"
-    fold = f"aggregate(_sorted, {run}, (a, w) -> if(w = a.p, named_struct('p', w, 'k', a.k + 1L, 'sum', a.sum), named_struct('p', w, 'k', 1L, 'sum', a.sum + if(a.k > 1, a.k, 0L))), a -> a.sum + if(a.k > 1, a.k, 0L))"
-    a = a.withColumn("_rep", F.expr(fold))
-    third = f"transform(filter(toks, x -> x.l IN ({X.quoted(X.THIRD_PERSON)})), x -> x.l)"
-    alone = f"flatten(transform(sents, s -> transform(filter(transform(s, (x, i) -> named_struct('l', x.l, 'd', x.w IN ({X.quoted(X.DEMONSTRATIVES)}), 'n', get(s, i + 1).c)), y -> y.d AND coalesce(y.n, '') NOT IN ('NOUN', 'ADJ', 'NUM')), y -> y.l)))"
-    a = a.withColumn("_third", F.expr(third)).withColumn("_alone", F.expr(alone)).withColumn("_n", F.expr("size(toks)"))
-    return a.selectExpr(
-        "doc_id",
-        f"{ratio('size(_third) + size(_alone)', '_n')} AS pronoun_density",
-        f"{ratio('size(_third) + size(_alone)', 'size(' + picked('toks', 'noun') + ')')} AS pronoun_noun_ratio",
-        f"{ratio('_rep', '_n')} AS repeated_content_lemmas",
-        f"{ratio('_rep + ' + _repeated('_third') + ' + ' + _repeated('_alone'), '_n')} AS repeated_content_and_pronoun_lemmas",
-    )
+    return kernel.measures(docs.select("doc_id", "text"), ["givenness"])
 
 
 def closed_connectives(docs: DataFrame) -> DataFrame:
     """Rates of closed sets for each word, and shares of the open classes."""
-    a = flat(docs).withColumn("_n", F.expr("size(toks)"))
-    rate = lambda words: ratio(f"size(filter(toks, x -> x.w IN ({X.quoted(words)})))", "_n")
-    attended = f"aggregate(sents, 0L, (a, s) -> a + size(filter(transform(s, (x, i) -> x.w IN ({X.quoted(X.DEMONSTRATIVES)}) AND coalesce(get(s, i + 1).c, '') IN ('NOUN', 'ADJ', 'NUM')), b -> b)))"
-    share = lambda c: ratio(f"size(filter(toks, x -> x.c = '{c}'))", f"size({picked('toks', 'content')})")
-    return a.selectExpr(
-        "doc_id",
-        f"{rate(X.ARTICLES + X.DEMONSTRATIVES)} AS determiners",
-        f"{rate(X.DEMONSTRATIVES)} AS all_demonstratives",
-        f"{ratio(attended, '_n')} AS attended_demonstratives",
-        f"{rate(['and', 'nor', 'but', 'or', 'yet', 'so'])} AS basic_connectives",
-        f"{rate(['and', 'but'])} AS conjunctions",
-        f"{rate(['or'])} AS disjunctions",
-        f"{rate(X.SUBORDINATORS)} AS lexical_subordinators",
-        f"{rate(X.CONJUNCT_COORDINATORS)} AS coordinating_conjuncts",
-        *[f"{share(c.upper())} AS {c}_ratio" for c in ("noun", "verb", "adj", "adv")],
-    )
+    return kernel.measures(docs.select("doc_id", "text"), ["closed_connectives"])
+
+
+def properties(docs: DataFrame, stop: list[str]) -> DataFrame:
+    """All per-document families, wide, in one pass over the texts."""
+    return kernel.measures(with_readability(docs.selectExpr("doc_id", "text", *RAW)), list(kernel.FAMILIES), stop)
 
 
 def chunks(docs: DataFrame, size: int = 300) -> DataFrame:

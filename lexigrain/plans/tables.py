@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.functions import lexicon as X
+from lexigrain.operators import kernel
 from lexigrain.operators import lookup as L
 from lexigrain.operators import measures as M
 from lexigrain.operators import profiles as P
@@ -99,9 +100,8 @@ def events_null(spark, sf_dir):
 
 
 def _properties(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    a = M.rounded(M.readability(docs)).join(M.rounded(M.closed_connectives(docs)), "doc_id")
-    return P.long(a, ["doc_id"]).join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    docs = M.with_readability(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return P.long(M.rounded(kernel.measures(docs, ["closed_connectives"])), ["doc_id", "lang", "source"])
 
 
 def profile_ranges(spark, sf_dir):
