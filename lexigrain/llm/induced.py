@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-ITEM = np.dtype([("symbol", np.int64), ("at", np.int64), ("lcp", np.uint16)])
+ITEM = np.dtype([("symbol", np.int64), ("at", np.int64), ("lcp", np.uint16)], align=True)
 BLOCK = 1 << 16
 
 
@@ -46,6 +46,14 @@ def blocks(n: int, step: int = BLOCK) -> Iterator[tuple[int, int]]:
     return ((lo, min(n, lo + step)) for lo in range(0, n, step))
 
 
+def starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.empty(len(values), bool)
+    new[:1] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 class Disk:
     """A folder and a budget: arrays of more than a quarter of the budget are files."""
 
@@ -161,7 +169,7 @@ class Queue:
         items = np.empty(len(at), ITEM)
         items["symbol"], items["at"], items["lcp"] = symbol, at, lcp
         own = np.searchsorted(self.edges, items["symbol"], "right") - 1
-        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        cut = starts(own)
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(items)], strict=True):
             r = int(own[lo])
             if r not in self.logs:
@@ -178,7 +186,7 @@ class Queue:
 
     def _list(self, items: np.ndarray) -> None:
         symbol = items["symbol"]
-        cut = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+        cut = starts(symbol)
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(items)], strict=True):
             self.lists.setdefault(int(symbol[lo]), []).append(items[lo:hi])
 
@@ -332,7 +340,7 @@ class Scan:
             k, d = k[order], d[order]
             new = np.zeros(len(k), np.uint16)
             if self.carry:
-                edge = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                edge = starts(d)
                 lo = np.empty(len(k), np.int64)
                 lo[1:] = k[:-1] + 1
                 lo[edge] = 0
@@ -345,7 +353,7 @@ class Scan:
             self.queue.push(d, at[k] - 1, new)
         if self.carry and len(lcp):
             low = np.minimum.accumulate(lcp[::-1])[::-1]
-            ends = np.flatnonzero(np.r_[low[1:] != low[:-1], True])
+            ends = np.append(starts(low)[1:] - 1, len(low) - 1)
             keep = self.value < low[0]
             self.place = np.r_[self.place[keep], self.base + ends]
             self.value = np.r_[self.value[keep], low[ends]]

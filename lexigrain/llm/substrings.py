@@ -23,6 +23,7 @@ looked at.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -50,10 +51,18 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.cumprod(np.full(n, b, np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 2**64)))
+    return up, down
+
+
 def _grams(data: np.ndarray) -> np.ndarray:
     """A hash of each ``ANCHOR``-byte string, modulo 2**64: it picks and groups places, and never decides that texts are equal."""
-    base = 0x9E3779B97F4A7C15
-    powers, inverse = (np.cumprod(np.full(len(data), b, np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 2**64)))
+    powers, inverse = _powers(max(len(data), 1 << 18))
+    powers = powers[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(B.BYTE_KEYS[data] * powers, out=sums[1:])
     n = len(data) - ANCHOR + 1
@@ -179,7 +188,7 @@ def sort_shards(pieces: DataFrame, width: int, budget: int) -> DataFrame:
     return pieces.select("doc_id", "text_hash", "at", "bytes").mapInArrow(run, "doc_id long, text_hash long, at long, end long")
 
 
-def repeats(docs: DataFrame, scratch: Scratch, width: int = 400, shard_bytes: int = 4 << 20, budget: int = 1 << 22) -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch, width: int = 400, shard_bytes: int = 8 << 20, budget: int = 1 << 22) -> DataFrame:
     """(doc_id, text_hash, spans): [at, end) in bytes, sorted, possibly overlapping."""
     rows = scratch.table(anchor_rows(docs, width), "anchors")
     often = rows.groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor")
