@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrain.functions import lexicon as X
+from lexigrain.storage import spread
 
 WORDS = r"\p{L}+"
 BREAK = r"([.!?…]+[\x22\x27”’)\]]*)\s+([^\p{Ll}\s])"
@@ -83,7 +84,7 @@ def _annotate(texts: pa.Array) -> pa.Array:
 
 def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``sents`` and ``paras``: arrays (in reading order) of arrays of struct(w, c, l)."""
-    split = docs.withColumn("_tokens", _annotate(text))
+    split = spread(docs).withColumn("_tokens", _annotate(text))
     return split.withColumn("sents", F.flatten("_tokens")).withColumn("paras", F.expr("transform(_tokens, p -> flatten(p))")).drop("_tokens")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from lexigrain.functions import lexicon as X
 from lexigrain.operators import annotate as A
+from lexigrain.storage import spread
 
 CODES = {c: k for k, c in enumerate(("NOUN", "VERB", "ADJ", "ADV", "DET", "PRON", "AUX", "CONJ", "ADP", "NUM"))}
 #: Characters of a block of texts, whose words are held at once; a longer text is a block of its own.
@@ -284,7 +285,7 @@ def _run(docs: DataFrame, schema: T.StructType, stop: Sequence[str], rows: Calla
                 pick = pa.array(pick + lo)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pick) for k in passed), *columns.values()], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def measures(docs: DataFrame, families: Sequence[str], stop: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions import lexicon as X
 from lexigrain.operators import kernel
+from lexigrain.storage import spread
 
 
 def ratio(a: str, b: str) -> str:
@@ -33,14 +34,14 @@ RAW = (
 
 def basic(docs: DataFrame, stop: list[str]) -> DataFrame:
     """Counts over content tokens, sentences and raw text."""
-    out = kernel.measures(docs.selectExpr("doc_id", "text", *RAW), ["basic"], stop)
+    out = kernel.measures(spread(docs).selectExpr("doc_id", "text", *RAW), ["basic"], stop)
     return out.select("doc_id", "n_tokens", "n_types", "n_sentences", "n_paragraphs", "type_token_ratio", "sent_len_mean", "sent_len_std", "sent_len_cv", "text_length", "word_count")
 
 
 def with_readability(docs: DataFrame) -> DataFrame:
     """``docs`` with Flesch reading ease and grade level and automated readability; syllables are groups of vowel letters."""
     kept = docs.columns
-    a = docs.withColumn("_t", F.expr("coalesce(text, '')")).selectExpr(
+    a = spread(docs).withColumn("_t", F.expr("coalesce(text, '')")).selectExpr(
         *[f"`{c}`" for c in kept],
         "filter(split(regexp_replace(regexp_replace(_t, r\"'(?!t|s|d|ve|ll|re)\", ''), r\"[^\\p{L}\\p{N}_\\s']\", ''), r'\\s+'), x -> x != '') AS _w",
         "greatest(int(_t != ''), size(filter(regexp_extract_all(_t, r'[^.!?]+[.!?]*', 0), x -> size(filter(split(x, r'\\s+'), y -> y != '')) > 2))) AS _sentences",
@@ -91,7 +92,7 @@ def closed_connectives(docs: DataFrame) -> DataFrame:
 
 def properties(docs: DataFrame, stop: list[str]) -> DataFrame:
     """All per-document families, wide, in one pass over the texts."""
-    return kernel.measures(with_readability(docs.selectExpr("doc_id", "text", *RAW)), list(kernel.FAMILIES), stop)
+    return kernel.measures(with_readability(spread(docs).selectExpr("doc_id", "text", *RAW)), list(kernel.FAMILIES), stop)
 
 
 def chunks(docs: DataFrame, size: int = 300) -> DataFrame:

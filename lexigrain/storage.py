@@ -33,6 +33,21 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL[sc.applicationId]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it comes from fewer splits than there are cores.
+
+    A small file of one row group is one task otherwise, however many cores wait.
+    Input of more splits than cores is left as it is, without an exchange.
+    """
+    if df.isStreaming or "Repartition" in (plan := df._jdf.queryExecution().optimizedPlan()).toString():
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(plan.stats().sizeInBytes()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df.repartition(cores) if size < cores * split else df
+
+
 class Scratch:
     """Tables of one operator run, below one folder of the shared root."""
 
