@@ -344,3 +344,63 @@ def overlap(docs: DataFrame, classes: Sequence[str] = X.CLASSES, levels: Sequenc
         return pick, labels | {n: pa.array(np.concatenate([v[k] for v in values])) for k, n in enumerate(SIX)}
 
     return _run(docs, schema, (), rows)
+
+
+def connectives(docs: DataFrame, items: Sequence[tuple[str, str]]) -> DataFrame:
+    """doc_id and other columns, relation, matches, rate: leftmost-longest, non-overlapping matches of each relation, inside sentences.
+
+    ``items`` are (item, relation), words apart by one blank; only documents with a match have a row.
+    """
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField("relation", T.StringType()), T.StructField("matches", T.LongType()), T.StructField("rate", T.DoubleType())])
+
+    def rows(w: Words) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        # items whose words the block has, by their first word; the longest come first
+        by_first: dict[int, list[tuple[list[int], str]]] = {}
+        for item, relation in items:
+            ids = [w.vocabulary.get(x, -1) for x in item.split(" ")]
+            if min(ids) >= 0:
+                by_first.setdefault(ids[0], []).append((ids, relation))
+        for group in by_first.values():
+            group.sort(key=lambda x: -len(x[0]))
+        word, sentence, doc = w.word.tolist(), w.sentence, w.doc
+        found: dict[tuple[int, str], int] = {}
+        free: dict[str, int] = {}
+        for p in np.flatnonzero(np.isin(w.word, list(by_first))).tolist():
+            here = set()
+            for ids, relation in by_first[word[p]]:
+                n = len(ids)
+                if relation in here or word[p : p + n] != ids or sentence[p + n - 1] != sentence[p]:
+                    continue
+                here.add(relation)
+                if free.get(relation, 0) <= p:
+                    key = (int(doc[p]), relation)
+                    found[key] = found.get(key, 0) + 1
+                    free[relation] = p + n
+        pick = np.array([d for d, _ in found], np.int64)
+        times = np.array(list(found.values()), np.int64)
+        rate = times / w.count(w.c >= 0)[pick] if len(pick) else np.zeros(0)
+        return pick, {"relation": pa.array([r for _, r in found], pa.string()), "matches": pa.array(times), "rate": pa.array(rate)}
+
+    return _run(docs, schema, (), rows)
+
+
+def zipf(docs: DataFrame, values: dict[str, float], stop: Sequence[str], first: int) -> DataFrame:
+    """zipf_mean, zipf_std over the known words among the first content tokens of each document; 0 without any."""
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField(n, T.DoubleType()) for n in ("zipf_mean", "zipf_std")])
+    known = docs.sparkSession.sparkContext.broadcast(values)  # the caller has bounded it
+
+    def rows(w: Words) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        kept = np.flatnonzero(~w.flag("stop"))
+        doc = w.doc[kept]
+        n = np.bincount(doc, minlength=w.n)
+        kept = kept[np.arange(len(kept)) - (np.cumsum(n) - n)[doc] < first]
+        numbers, which = np.unique(w.word[kept], return_inverse=True)
+        names = dict(zip(w.vocabulary.values(), w.vocabulary, strict=True))
+        own = np.array([known.value.get(names[k], np.nan) for k in numbers.tolist()] or [np.nan])[which] if len(kept) else np.zeros(0)
+        doc, own = w.doc[kept][~np.isnan(own)], own[~np.isnan(own)]
+        n = np.bincount(doc, minlength=w.n)
+        mean = per(np.bincount(doc, own, w.n), n)
+        sd = np.sqrt(per(np.bincount(doc, (own - mean[doc]) ** 2, w.n), n))
+        return np.arange(w.n), {"zipf_mean": pa.array(mean), "zipf_std": pa.array(sd)}
+
+    return _run(docs, schema, stop, rows)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.functions import lexicon as X
+from lexigrain.operators import kernel
 from lexigrain.operators.annotate import flat
 from lexigrain.operators.measures import ratio
 
@@ -27,6 +28,8 @@ CONNECTIVES = {
     "reference": ["as for", "as to", "in that"],
 }
 LIMIT = 500_000
+#: Connectives that are matched in the row at most.
+SHORT = 5_000
 
 
 def inventory(spark, relations: dict[str, list[str]] = CONNECTIVES) -> DataFrame:
@@ -46,14 +49,22 @@ def _grams(words: str, most: int, firsts: list[str] | None) -> str:
 def connectives(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, relation, matches, rate): leftmost-longest, non-overlapping matches of each relation, inside sentences.
 
-    Only matches leave the row of their document; the greedy choice folds over
-    the few of one document and relation.
+    A short inventory is matched in the row of its document. Of a longer one only
+    matches leave the row; the greedy choice folds over the few of one document
+    and relation.
     """
+    short = items.select("item", "relation").limit(SHORT + 1).collect()
+    if len(short) <= SHORT:
+        return kernel.connectives(docs.select("doc_id", "text"), [tuple(r) for r in short])
+    return _joined(docs, items)
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for any number of items, by a join of n-grams."""
     most = items.agg(F.max("n")).first()[0] or 1
     n_items = items.count()
     small = F.broadcast(items) if n_items <= LIMIT else items
-    # a short inventory's first words go into the plan, so that few n-grams are ever built
-    firsts = sorted({r[0] for r in items.select(F.split("item", " ")[0]).distinct().collect()}) if n_items <= 5_000 else None
+    firsts = None
     a = flat(docs).selectExpr("doc_id", "size(toks) AS n_words", "transform(sents, s -> transform(s, x -> x.w)) AS s")
     spots = a.selectExpr("doc_id", "n_words", "posexplode(s) AS (sent, words)").selectExpr("doc_id", "n_words", "sent", f"explode({_grams('words', most, firsts)}) AS g")
     met = spots.selectExpr("doc_id", "n_words", "sent", "g.at", "g.n AS len", "g.item").join(small.drop("n"), "item")
@@ -83,7 +94,19 @@ def zipf_table(docs: DataFrame, floor: int = 5) -> DataFrame:
 
 
 def zipf(docs: DataFrame, table: DataFrame, stop: list[str], first: int = 500) -> DataFrame:
-    """zipf_mean, zipf_std over the known words among the first content tokens of each document."""
+    """zipf_mean, zipf_std over the known words among the first content tokens of each document.
+
+    A table of at most LIMIT words is looked up in the row, a longer one is joined.
+    """
+    known = table.select("word", "zipf").limit(LIMIT + 1).toArrow()
+    if len(known) <= LIMIT:
+        values = dict(zip(known["word"].to_pylist(), known["zipf"].to_pylist(), strict=True))
+        return kernel.zipf(docs.select("doc_id", "text"), values, stop, first)
+    return _zipf_joined(docs, table, stop, first)
+
+
+def _zipf_joined(docs: DataFrame, table: DataFrame, stop: list[str], first: int) -> DataFrame:
+    """The same with a table of any size."""
     a = flat(docs).selectExpr("doc_id", f"slice(filter(transform(toks, x -> x.w), w -> w NOT IN ({X.quoted(stop)})), 1, {first}) AS t")
     words = a.select("doc_id", F.explode("t").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("k"))
     known = words.join(table, "word").groupBy("doc_id").agg(F.sum(F.col("k") * F.col("zipf")).alias("s"), F.sum(F.col("k") * F.col("zipf") * F.col("zipf")).alias("q"), F.sum("k").alias("n"))

@@ -149,3 +149,28 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "p.json").write_text(profile)
     assert main(["compare", str(tmp_path / "a.txt"), str(tmp_path / "p.json")], spark) == 0
     assert main(["source", str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], spark) == 0
+
+
+def test_short_and_long_tables_give_the_same(spark):
+    from lexigrain.operators import lookup
+    from lexigrain.plans.registry import STOP
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    items = lookup.inventory(spark)
+    assert rows(lookup.connectives(docs, items)) == rows(lookup._joined(docs, items))
+    table = lookup.zipf_table(docs)
+    one, two = (rows(f(docs, table, STOP, 500).select("doc_id", "zipf_mean", "zipf_std")) for f in (lookup.zipf, lookup._zipf_joined))
+    assert [r[0] for r in one] == [r[0] for r in two]
+    assert all(abs(a - b) < 1e-6 for x, y in zip(one, two, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_the_kernel_of_nothing(spark):
+    from lexigrain.operators import measures
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n . "), (4, "Words Ⅷ x² here.")], "doc_id long, text string")
+    out = {r.doc_id: r for r in measures.properties(docs, []).collect()}
+    assert out[1].n_tokens == out[2].n_tokens == out[3].n_tokens == 0 and out[1].mtld_score == 0 and out[3].n_sentences >= 1
+    assert out[4].n_tokens == 3
+    assert measures.overlap(docs).filter("overlap > 0").count() == 0
+    assert measures.properties(docs.limit(0), []).count() == 0
