@@ -32,51 +32,39 @@ def profile_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("property", "samples", *[F.col("r")[k].alias(n) for k, n in enumerate(("lo", "med", "hi"))])
 
 
-class _Paragraphs(HTMLParser):
+class _Events(HTMLParser):
+    """The tags and texts of a page in order: (+1 or -1, tag) and (0, text)."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.inside, self.article = 0, False, 0
-        self.current: list[str] = []
-        self.found: list[tuple[bool, str]] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skip += 1
-        elif tag == "article":
-            self.article += 1
-        elif tag == "p":
-            self.close_paragraph()
-            self.inside = True
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "article":
-            self.close_paragraph()
-            self.article = max(0, self.article - 1)
-        elif tag == "p":
-            self.close_paragraph()
-
-    def handle_data(self, data):
-        if self.inside and not self.skip:
-            self.current.append(data)
-
-    def close_paragraph(self) -> None:
-        text = " ".join("".join(self.current).split())
-        if self.inside and text:
-            self.found.append((self.article > 0, text))
-        self.current, self.inside = [], False
+        self.events: list[tuple[int, str]] = []
+        self.handle_starttag = lambda tag, attrs: self.events.append((1, tag))
+        self.handle_endtag = lambda tag: self.events.append((-1, tag))
+        self.handle_data = lambda data: self.events.append((0, data))
 
 
 def paragraphs_of(html: str, least: int = 8) -> list[str]:
     """Paragraphs of at least ``least`` words; only an article's if it has three or more."""
-    parser = _Paragraphs()
-    parser.feed(html)
-    parser.close()
-    parser.close_paragraph()
-    long = [(a, t) for a, t in parser.found if len(t.split()) >= least]
-    own = [t for a, t in long if a]
-    return own if len(own) >= 3 else [t for _, t in long]
+    reader = _Events()
+    reader.feed(html)
+    reader.close()
+    depth = {"skipped": 0, "article": 0}
+    found: list[tuple[bool, list[str]]] = []  # of each paragraph: is it an article's; its words
+    words: list[str] | None = None
+    for step, value in [*reader.events, (-1, "p")]:
+        kind = "skipped" if value in SKIPPED else value
+        if step and kind in ("p", "article") and words is not None and (step, kind) != (1, "article"):
+            found.append((depth["article"] > 0, "".join(words).split()))
+            words = None
+        if step and kind in depth:
+            depth[kind] = max(0, depth[kind] + step)
+        elif (step, kind) == (1, "p"):
+            words = []
+        elif not step and words is not None and not depth["skipped"]:
+            words.append(value)
+    long = [(own, " ".join(w)) for own, w in found if len(w) >= least]
+    own = [text for inside, text in long if inside]
+    return own if len(own) >= 3 else [text for _, text in long]
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))

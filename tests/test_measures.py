@@ -174,3 +174,18 @@ def test_the_kernel_of_nothing(spark):
     assert out[4].n_tokens == 3
     assert measures.overlap(docs).filter("overlap > 0").count() == 0
     assert measures.properties(docs.limit(0), []).count() == 0
+
+
+def test_tokens_with_marks_and_abbreviations():
+    assert kernels.tokenize("“*Well*,” Mr. Smith won't say (cannot!)...") == ["“", "*", "Well", "*", ",", "”", "Mr.", "Smith", "wo", "n't", "say", "(", "can", "not", "!", ")", "..."]
+    assert kernels.tokenize("_so_ shan't e.g. J. U.S. end.") == ["_", "so", "_", "sha", "n't", "e.g.", "J.", "U.S.", "end", "."]
+    assert kernels.tokenize("well-known and/or mother-in-law's wait--what") == ["well", "-", "known", "and", "/", "or", "mother-in-law", "'s", "wait", "--", "what"]
+
+
+def test_alignment_of_split_and_joined_blocks():
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b)) + "."
+    one = "\n\n".join([words(0, 20), words(100, 110), words(110, 120), words(300, 320)])
+    two = "\n\n".join([words(0, 10), words(10, 20), words(100, 120), words(500, 520)])
+    found = cadence.align_texts(one, two)
+    assert [(p[0], p[1]) for p in found[:2]] == [("split", 1.0), ("merged", 1.0)]
+    assert sorted(p[0] for p in found[2:]) == ["deleted", "inserted"]
