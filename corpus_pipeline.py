@@ -2,10 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``. SQL cannot express the first stage
-(a trained classifier), so the pipeline has no oracle. tests/llm holds near dedup
-and decontamination against brute force, mixing and sharding against their laws,
-and the classifier against held-out labels; the stages take empty tables and
-columns with names that the operators use inside.
+(a trained classifier), so the pipeline has no oracle. tests/llm/test_pipeline.py
+holds each stage on its own input: the classifier against planted good and bad
+documents, near dedup and decontamination against brute force, mixing against
+the SQL of op1, sharding against its laws, and run() against the chain of its
+stages. The stages take empty tables and columns with names that the operators
+use inside.
 """
 
 from __future__ import annotations
