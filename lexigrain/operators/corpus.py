@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.operators.annotate import annotate
+from lexigrain.storage import Scratch
 
 
 def paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
@@ -69,3 +70,20 @@ def license_filter(rows: DataFrame, license: Column, known: dict[str, bool]) ->
     for name, ok in known.items():
         accepted = F.when(license == name, F.lit(ok)).otherwise(accepted)
     return rows.filter(F.when(accepted.isNull(), F.raise_error(F.concat(F.lit("unknown licence: "), license)).cast("boolean")).otherwise(accepted))
+
+
+def numbered(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``counts`` (word, count) with ``id``: 0 for the most frequent word, ties by the word.
+
+    Words are dealt by ranges of that order and numbered inside each range;
+    the sizes of the ranges before are added. No range holds all words, however
+    many share one count.
+    """
+    order = (F.desc("count"), F.asc("word"))
+    dealt = counts.select("word", "count").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    dealt = scratch.table(dealt, "ranges")
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("start"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    # a row for each range, of which there are as many as shuffle partitions
+    return dealt.withColumn("own", own).join(F.broadcast(starts), "part").select("word", "count", (F.col("start") + F.col("own")).cast("long").alias("id"))

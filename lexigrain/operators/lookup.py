@@ -161,3 +161,23 @@ def source_comparison(pairs: DataFrame, lists: DataFrame, table: DataFrame) -> D
     target = pairs.join(own.withColumnRenamed("doc_id", "target"), "target")
     hit = target.join(keys.select(F.col("doc_id").alias("source"), "variant", "item", F.lit(1).alias("key")), ["source", "variant", "item"], "left")
     return hit.groupBy("source", "target", "variant").agg((F.sum(F.when(F.col("key") == 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("share"))
+
+
+def merged_items(tables: list[DataFrame]) -> DataFrame:
+    """(item, class, senses): one row for each item and class of several tables (item, class, senses), senses sorted and once each."""
+    rows = tables[0].select("item", "class", "senses")
+    for more in tables[1:]:
+        rows = rows.unionByName(more.select("item", "class", "senses"))
+    each = rows.select("item", "class", F.explode("senses").alias("s")).distinct()
+    return each.groupBy("item", "class").agg(F.array_sort(F.collect_list("s")).alias("senses"))
+
+
+def with_sense(matches: DataFrame, defaults: DataFrame) -> DataFrame:
+    """``matches`` (.., item, class) with ``sense``: the default of the item in that class, else that of the item in any class, else null.
+
+    ``defaults`` is (item, class, sense); a null class stands for any.
+    """
+    table = F.broadcast(defaults) if defaults.limit(LIMIT + 1).count() <= LIMIT else defaults
+    own = table.filter(F.col("class").isNotNull()).select("item", "class", F.col("sense").alias("_own"))
+    other = table.filter(F.col("class").isNull()).select("item", F.col("sense").alias("_any"))
+    return matches.join(own, ["item", "class"], "left").join(other, "item", "left").withColumn("sense", F.coalesce("_own", "_any")).drop("_own", "_any")

@@ -64,3 +64,22 @@ def stress_table(pronunciations: DataFrame) -> DataFrame:
 def hybrid_baseline(table_rate, level, weight: float = 0.7, intercept: float = -3.98, slope: float = 2.57):
     """Column: a table's rate blended in logarithms with a judged level; a rate below the floor stays null."""
     return F.when(level.isNull(), table_rate).otherwise(F.exp(weight * F.ln(table_rate) + (1 - weight) * (intercept + slope * level)))
+
+
+def agreement(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """(class, support, precision, recall, f1, accuracy): how well a prediction meets the gold class, a row a class.
+
+    Rows without a gold class are left out; one without a prediction is a miss.
+    A class that is never predicted has precision 0. Only the counts of pairs of
+    classes leave the map side.
+    """
+    cells = rows.filter(F.col(gold).isNotNull()).groupBy(F.col(gold).alias("g"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    met = F.when(F.col("g") == F.col("p"), F.col("n")).otherwise(0)
+    sides = cells.select(F.explode(F.array(F.struct(F.col("g").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("given"), met.alias("met")), F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("given"), F.lit(0).cast("long").alias("met")))).alias("x")).select("x.*")
+    by_class = sides.filter(F.col("class").isNotNull()).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "given", "met")])
+    whole = cells.agg((F.sum(met) / F.sum("n")).alias("accuracy"))
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    scored = by_class.select("class", "support", "given", "met", part("met", "given").alias("precision"), part("met", "support").alias("recall"))
+    f1 = F.when(F.col("support") + F.col("given") > 0, 2 * F.col("met") / (F.col("support") + F.col("given"))).otherwise(0.0)
+    # one row joins a row for each class
+    return scored.crossJoin(F.broadcast(whole)).select("class", "support", "precision", "recall", f1.alias("f1"), "accuracy")

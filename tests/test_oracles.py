@@ -2,12 +2,12 @@
 
 import pytest
 
-from lexigrain.plans import corpus, registry, structure, tables
+from lexigrain.plans import cohesion, corpus, registry, structure, tables
 from tests.duck import connect, rows_of_duck, rows_of_spark
 
 SF = "/root/testdata/sf0.001"
-QUERIES = registry.QUERIES | tables.QUERIES | structure.QUERIES | corpus.QUERIES
-ORACLE = registry.ORACLE_SQL | tables.ORACLE_SQL | structure.ORACLE_SQL | corpus.ORACLE_SQL
+QUERIES = registry.QUERIES | tables.QUERIES | structure.QUERIES | corpus.QUERIES | cohesion.QUERIES
+ORACLE = registry.ORACLE_SQL | tables.ORACLE_SQL | structure.ORACLE_SQL | corpus.ORACLE_SQL | cohesion.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
