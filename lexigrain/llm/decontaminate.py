@@ -96,7 +96,8 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, width: in
 def flag(docs: DataFrame, items: DataFrame, scratch: Scratch, width: int = 10) -> DataFrame:
     """Every document with n_words, n_hit, items (sorted) and contaminated; columns of ``docs`` but the text stay."""
     found = contamination(docs, items, scratch, width)
-    count = F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    # splitting at gaps costs far less than matching words
+    count = F.coalesce(F.size(F.array_remove(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")), F.lit(0)).cast("long")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     base = docs.select("doc_id", *rest, F.xxhash64("text").alias("text_hash"), count.alias("n_words")).alias("b")
     joined = base.join(found.alias("f"), [F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")), F.col("b.text_hash") == F.col("f.text_hash")], "left")
