@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrain.operators import kernel
 from lexigrain.operators.annotate import annotate
+from lexigrain.operators.lookup import LIMIT
 from lexigrain.storage import Scratch
 
 
@@ -64,6 +66,38 @@ def synonym_overlap(docs: DataFrame, synonyms: DataFrame, word_class: str = "NOU
     return counts.join(total, "doc_id", "left").select("doc_id", F.when(F.col("n") > 1, F.coalesce("v", F.lit(0.0)) / (F.col("n") - 1)).otherwise(0.0).alias("syn_overlap"))
 
 
+def grouped_overlap(docs: DataFrame, groups: DataFrame, score: float, word_class: str = "NOUN", limit: int = LIMIT) -> DataFrame:
+    """``synonym_overlap`` where the words of a group (word, group; a word is in one group) are each other's synonyms at one score.
+
+    The pairs of a group, which are the square of its words, are never made. At
+    most ``limit`` words are looked up in the row, more are joined.
+    """
+    docs = docs.select("doc_id", "text")
+    known = groups.select("word", F.col("group").cast("string").alias("group")).limit(limit + 1).toArrow()
+    if len(known) <= limit:
+        codes = known["group"].combine_chunks().dictionary_encode().indices
+        out = kernel.grouped_overlap(docs, dict(zip(known["word"].to_pylist(), codes.to_pylist(), strict=True)), score, word_class)
+    else:
+        out = _grouped_joined(docs, groups, score, word_class)
+    # sentences meet by doc_id, so a row without one has none that follow another
+    return out.select("doc_id", F.when(F.col("doc_id").isNull(), 0.0).otherwise(F.col("syn_overlap")).alias("syn_overlap"))
+
+
+def _grouped_joined(docs: DataFrame, groups: DataFrame, score: float, word_class: str) -> DataFrame:
+    """The same for any number of words: each lemma of a sentence stands as a type at its place and as tokens at the place before."""
+    a = annotate(docs).select("doc_id", F.expr(f"transform(sents, s -> transform(filter(s, x -> x.c = '{word_class}'), x -> x.l))").alias("s"))
+    tokens = a.select("doc_id", F.posexplode("s").alias("at", "l")).select("doc_id", "at", F.explode("l").alias("word"))
+    types = tokens.groupBy("doc_id", "at", "word").agg(F.count(F.lit(1)).alias("k"))
+    types = types.join(groups.select("word", "group"), "word", "left")
+    roles = F.array(F.struct(F.col("at").alias("at"), F.lit(1).alias("x"), F.lit(0).cast("long").alias("y")), F.struct((F.col("at") - 1).alias("at"), F.lit(0).alias("x"), F.col("k").alias("y")))
+    spots = types.select("doc_id", "word", "group", F.explode(roles).alias("r")).groupBy("doc_id", "group", "word", "r.at").agg(F.sum("r.x").alias("x"), F.sum("r.y").alias("y"))
+    met = spots.groupBy("doc_id", "group", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("same"))
+    value = F.col("same") + F.when(F.col("group").isNotNull(), score * (F.col("x") * F.col("y") - F.col("same"))).otherwise(0.0)
+    total = met.groupBy("doc_id").agg(F.sum(value).alias("v"))
+    counts = a.select("doc_id", F.size("s").alias("n"))
+    return counts.join(total, "doc_id", "left").select("doc_id", F.when(F.col("n") > 1, F.coalesce("v", F.lit(0.0)) / (F.col("n") - 1)).otherwise(0.0).alias("syn_overlap"))
+
+
 def license_filter(rows: DataFrame, license: Column, known: dict[str, bool]) -> DataFrame:
     """Rows under an accepted licence; an unknown licence is an error when it is met."""
     accepted = F.lit(None).cast("boolean")

@@ -404,3 +404,43 @@ def zipf(docs: DataFrame, values: dict[str, float], stop: Sequence[str], first:
         return np.arange(w.n), {"zipf_mean": pa.array(mean), "zipf_std": pa.array(sd)}
 
     return _run(docs, schema, stop, rows)
+
+
+def grouped_overlap(docs: DataFrame, groups: dict[str, int], score: float, word_class: str) -> DataFrame:
+    """syn_overlap: types of a sentence against tokens of the next, equal or, at ``score``, others of the same group, for each pair of sentences.
+
+    A group's matches are its types times its tokens, so a large group costs no
+    more than its words; what is equal is taken out of that product.
+    """
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "text"] + [T.StructField("syn_overlap", T.DoubleType())])
+    known = docs.sparkSession.sparkContext.broadcast(groups)  # the caller has bounded it
+
+    def rows(w: Words) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        mask = w.c == CODES[word_class]
+        follows = np.zeros(len(w.sentence_doc), bool)
+        follows[:-1] = w.sentence_doc[1:] == w.sentence_doc[:-1]
+        size = len(w.vocabulary.lemmas) + 1
+        keys, times = np.unique(w.sentence[mask] * size + w.lemma[mask], return_counts=True)
+        sentence, lemma = keys // size, keys % size
+
+        def met(keys: np.ndarray, size: int, types: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+            """For each key its types times the tokens of the same key in the next sentence."""
+            if not len(keys):
+                return np.zeros(0)
+            at = np.minimum(np.searchsorted(keys, keys + size), len(keys) - 1)
+            return np.where((keys[at] == keys + size) & follows[keys // size], types * tokens[at], 0).astype(float)
+
+        same = met(keys, size, np.ones_like(times), times)
+        total = np.bincount(w.sentence_doc[sentence], same, w.n)
+        names = list(w.vocabulary.lemmas)
+        numbers, which = np.unique(lemma, return_inverse=True)
+        own = np.array([known.value.get(names[k], -1) for k in numbers.tolist()], np.int64)[which]
+        grouped = own >= 0
+        span = int(own.max(initial=0)) + 1
+        pairs, which = np.unique(sentence[grouped] * span + own[grouped], return_inverse=True)
+        near = met(pairs, span, np.bincount(which, minlength=len(pairs)), np.bincount(which, times[grouped], len(pairs)))
+        near = np.bincount(w.sentence_doc[pairs // span], near, w.n) - np.bincount(w.sentence_doc[sentence[grouped]], same[grouped], w.n)
+        n = np.bincount(w.sentence_doc, minlength=w.n)
+        return np.arange(w.n), {"syn_overlap": pa.array(np.where(n > 1, (total + score * near) / np.maximum(n - 1, 1), 0.0))}
+
+    return _run(docs, schema, (), rows)
