@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions import lexicon as X
 from lexigrain.operators import kernel
+from lexigrain.operators import keyness as K
 from lexigrain.operators import lookup as L
 from lexigrain.operators import measures as M
 from lexigrain.operators import profiles as P
@@ -42,10 +43,9 @@ def zipf_scores(spark, sf_dir):
 
 def keyness(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    lists = Scratch(spark, "keyness").table(L.gram_lists(docs), "lists")
     ids = docs.select("doc_id")
     pairs = ids.withColumnRenamed("doc_id", "source").join(ids.select((F.col("doc_id") - 1).alias("source"), F.col("doc_id").alias("target")), "source")
-    return M.rounded(L.source_comparison(pairs, lists, L.gram_baseline(lists)))
+    return M.rounded(K.source_comparison(docs, pairs, Scratch(spark, "keyness")))
 
 
 def _pairs(spark, sf_dir):
